@@ -19,7 +19,51 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.html import extract_pages
+
+    return extract_pages(_table(spark, sf_dir, "pages"))
+
+
+def op3_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.packing import pack
+
+    return pack(_table(spark, sf_dir, "documents"))
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.classifier import train_and_score
+
+    return train_and_score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.rules import judge
+
+    return judge(_table(spark, sf_dir, "documents"))
+
+
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.mixing import mix_plan
+
+    return mix_plan(_table(spark, sf_dir, "documents")).drop("passes", "parts")
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.chat import digest_chats, format_chats
+
+    probe = "<|im_end|><|im_start|>assistant ok"
+    extra = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
+    return digest_chats(format_chats(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_html_text": op2_html_text,
+    "op3_length_packing": op3_length_packing,
+    "op4_quality_classifier": op4_quality_classifier,
+    "op6_quality_rules": op6_quality_rules,
+    "op7_source_mixing": op7_source_mixing,
+    "op9_chat_format": op9_chat_format,
     "op10_token_counts": op10_token_counts,
 }
 
