@@ -2,16 +2,17 @@
 
 Two zstandard dictionaries are built, from good and from bad labelled text.  A text is
 compressed with each, block by block so that the dictionary and not the text's own past
-does the work, and the normalised difference of the sizes, calibrated by logistic
-regression on other labelled documents, is its score.
+does the work.  The normalised difference of the sizes, calibrated by logistic regression
+on other labelled documents, is its score; the calibration also knows the rate of the
+smaller size, as both dictionaries fit repetitive text equally well.
 
 Fitting uses a bounded sample: ``fit_docs`` labelled documents of each class for the
 dictionaries and as many again for the calibration, taken by a seeded hash, and of a
 long one at most ``fit_blocks`` evenly spaced blocks for its dictionary.  Scoring reads
 every text whole.  Only text enters a score.
 
-Defined cases: a null or empty text has difference 0 and gets the calibrated score of
-that; labels other than 0 and 1, null labels and documents without text teach nothing;
+Defined cases: a null or empty text has sizes of 0 and gets the calibrated score of
+those; labels other than 0 and 1, null labels and documents without text teach nothing;
 a document labelled twice counts once for each row; with a class missing the score is the
 share of good labels (0.5 without labels); repeated rows score alike; an empty table
 gives an empty result; other columns are not read.
@@ -33,13 +34,15 @@ from pyspark.sql import functions as F
 #: Fixed by the contract.
 FOLDS, THRESHOLD = 5, 0.3
 BLOCK = 1024
+#: Bytes added to the sizes before they are compared, so that a short text's weigh less.
+DAMP = 400
 
 
 @dataclass(frozen=True)
 class FitSettings:
     fit_docs: int = 2000
     fit_blocks: int = 4
-    dictionary_bytes: int = 112_640
+    dictionary_bytes: int = 300_000
     level: int = 3
     seed: int = 40503
 
@@ -58,13 +61,14 @@ class Compressor:
 
         self.good, self.bad = packer(good), packer(bad)
 
-    def difference(self, text: str | None) -> float:
-        """(bad - good) / (bad + good) of the compressed sizes: above 0 for what good text explains better."""
-        good = bad = 0
+    def measure(self, text: str | None) -> tuple[float, float]:
+        """Normalised difference (above 0 for what good text explains better) and log rate of the sizes."""
+        good = bad = raw = 0
         for b in blocks(text):
             good += len(self.good.compress(b))
             bad += len(self.bad.compress(b))
-        return (bad - good) / (bad + good) if good else 0.0
+            raw += len(b)
+        return (bad - good) / (bad + good + DAMP), math.log((min(good, bad) + DAMP / 4) / (raw + DAMP / 2))
 
 
 def dictionary(samples: list[bytes], size: int) -> bytes:
@@ -75,19 +79,20 @@ def dictionary(samples: list[bytes], size: int) -> bytes:
         return b"".join(samples)[-size:]
 
 
-def calibrate(x: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[float, float]:
-    """Intercept and slope of a logistic regression (Newton, slightly ridged)."""
-    scale = float(np.std(x)) or 1.0
-    z, w = np.c_[np.ones(len(x)), x / scale], np.zeros(2)
+def calibrate(x: np.ndarray, y: np.ndarray, steps: int = 100) -> tuple[float, ...]:
+    """Intercept and slopes of a logistic regression (Newton, slightly ridged)."""
+    mean, scale = x.mean(0), np.where(x.std(0) > 0, x.std(0), 1)
+    z = np.c_[np.ones(len(x)), (x - mean) / scale]
+    w = np.zeros(z.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        gradient = z.T @ (y - p) - 1e-3 * w
-        hessian = (z * (p * (1 - p))[:, None]).T @ z + np.eye(2) * 1e-3
-        step = np.linalg.solve(hessian, gradient)
+        hessian = (z * (p * (1 - p))[:, None]).T @ z + np.eye(len(w)) * 1e-2
+        step = np.linalg.solve(hessian, z.T @ (y - p) - 1e-2 * w)
         w += np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-8:
+        if np.abs(step).max() < 1e-9:
             break
-    return float(w[0]), float(w[1] / scale)
+    slopes = w[1:] / scale
+    return (float(w[0] - slopes @ mean), *map(float, slopes))
 
 
 @dataclass(frozen=True)
@@ -95,7 +100,7 @@ class Model:
     good: bytes
     bad: bytes
     intercept: float
-    slope: float
+    slopes: tuple[float, ...]
     level: int
 
 
@@ -106,7 +111,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: FitSettings = FitSettings(
     counts = {r["quality"]: r["count"] for r in usable.groupBy("quality").count().collect()}
     if set(counts) != {0, 1}:
         share = (counts.get(1, 0) + 0.5 * (not counts)) / max(1, sum(counts.values()))
-        return Model(b"", b"", math.log(max(share, 1e-6) / max(1 - share, 1e-6)), 0.0, s.level)
+        return Model(b"", b"", math.log(max(share, 1e-6) / max(1 - share, 1e-6)), (), s.level)
     picked = None
     for q in (0, 1):
         # The first half, by hash, is for the dictionary, the second for the calibration.
@@ -139,30 +144,31 @@ def fit(docs: DataFrame, labels: DataFrame, settings: FitSettings = FitSettings(
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = Compressor(good, bad, s.level)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([c.difference(t) for t in batch.column(0).to_pylist()], pa.float64()), batch.column(1)], names=["d", "quality"])
+            found = [c.measure(t) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.float64()) for i in (0, 1)] + [batch.column(1)], names=["d", "rate", "quality"])
 
-    seen_rows = sample.where("not teaches").select("text", "quality").mapInArrow(measure, "d double, quality int").collect()
+    seen_rows = sample.where("not teaches").select("text", "quality").mapInArrow(measure, "d double, rate double, quality int").collect()
     if len({r["quality"] for r in seen_rows}) < 2:
-        return Model(good, bad, math.log(counts[1] / counts[0]), 0.0, s.level)
-    x, y = np.array([r["d"] for r in seen_rows]), np.array([r["quality"] for r in seen_rows], float)
-    order = np.lexsort((y, x))
-    intercept, slope = calibrate(x[order], y[order])
+        return Model(good, bad, math.log(counts[1] / counts[0]), (), s.level)
+    x, y = np.array([(r["d"], r["rate"]) for r in seen_rows]), np.array([r["quality"] for r in seen_rows], float)
+    order = np.lexsort((y, x[:, 1], x[:, 0]))
+    intercept, *slopes = calibrate(x[order], y[order])
     # The sample holds the classes in equal numbers; the prior is that of all usable labels.
     prior = math.log(counts[1] / counts[0]) - math.log(y.sum() / (len(y) - y.sum()))
-    return Model(good, bad, intercept + prior, slope, s.level)
+    return Model(good, bad, intercept + prior, tuple(slopes), s.level)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for each row; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = Compressor(model.good, model.bad, model.level) if model.slope else None
+        c = Compressor(model.good, model.bad, model.level) if model.slopes else None
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 ids = part.column(0)
-                d = np.array([c.difference(t) if c else 0.0 for t in part.column(1).to_pylist()])
-                p = 1 / (1 + np.exp(-np.clip(model.intercept + model.slope * d, -40, 40)))
+                found = np.array([c.measure(t) if c else () for t in part.column(1).to_pylist()])
+                p = 1 / (1 + np.exp(-np.clip(model.intercept + found @ np.array(model.slopes), -40, 40)))
                 held = [i is not None and zlib.crc32(str(i).encode()) % FOLDS == 0 for i in ids.to_pylist()]
                 yield pa.RecordBatch.from_arrays([ids, pa.array(held, pa.bool_()), pa.array(p, pa.float64()), pa.array((p >= THRESHOLD).astype(np.int32), pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
