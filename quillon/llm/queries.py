@@ -19,6 +19,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.minhash import NearSettings, near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), settings=NearSettings(shingle=4))
+
+
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillon.llm.html import extract_pages
 
@@ -37,6 +43,12 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return train_and_score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.embeddings import link_vectors
+
+    return link_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillon.llm.rules import judge
 
@@ -58,9 +70,11 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash_dedup": op1_minhash_dedup,
     "op2_html_text": op2_html_text,
     "op3_length_packing": op3_length_packing,
     "op4_quality_classifier": op4_quality_classifier,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op7_source_mixing": op7_source_mixing,
     "op9_chat_format": op9_chat_format,
