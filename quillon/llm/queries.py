@@ -61,6 +61,12 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_plan(_table(spark, sf_dir, "documents")).drop("passes", "parts")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.suffix import dedup_digest
+
+    return dedup_digest(_table(spark, sf_dir, "documents"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillon.llm.chat import digest_chats, format_chats
 
@@ -77,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_embedding_dedup": op5_embedding_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op7_source_mixing": op7_source_mixing,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_chat_format": op9_chat_format,
     "op10_token_counts": op10_token_counts,
 }
