@@ -206,3 +206,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = signed.select("id", "n", "mark").join(answer, "mark", "left")
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: NearSettings = NearSettings()) -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of its group, with the columns they came with.
+
+    An id names a document: rows that share one stay or go together.  Rows with a null id stay.
+    """
+    gone = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col, text_col, settings).where(~F.col("kept")).select(F.col(id_col).alias("__near_id"))
+    return docs.join(gone, docs[id_col] == gone["__near_id"], "left_anti")

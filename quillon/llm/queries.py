@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillon.llm.oracles import ORACLE_SQL  # noqa: F401
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -52,7 +54,7 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillon.llm.rules import judge
 
-    return judge(_table(spark, sf_dir, "documents"))
+    return judge(_table(spark, sf_dir, "documents")).drop("rejected_by")
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,6 +89,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat_format": op9_chat_format,
     "op10_token_counts": op10_token_counts,
 }
-
-#: DuckDB SQL for the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
