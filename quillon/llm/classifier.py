@@ -79,6 +79,24 @@ def dictionary(samples: list[bytes], size: int) -> bytes:
         return b"".join(samples)[-size:]
 
 
+def own_lines(pieces: list[tuple[int, int, bytes]]) -> dict[int, list[bytes]]:
+    """The pieces of each class without lines that several documents share.
+
+    A shared line tells of its source, not of quality, and would count for whichever
+    dictionary happens to have it.
+    """
+    holders: dict[bytes, set[int]] = {}
+    for _, doc, block in pieces:
+        for line in block.split(b"\n"):
+            holders.setdefault(line, set()).add(doc)
+    out: dict[int, list[bytes]] = {0: [], 1: [], -1: []}
+    for q, _, block in pieces:
+        kept = b"\n".join(line for line in block.split(b"\n") if len(holders[line]) == 1)
+        if kept:
+            out[q].append(kept)
+    return {q: sorted(v) for q, v in out.items()}
+
+
 def calibrate(x: np.ndarray, y: np.ndarray, steps: int = 100) -> tuple[float, ...]:
     """Intercept and slopes of a logistic regression (Newton, slightly ridged)."""
     mean, scale = x.mean(0), np.where(x.std(0) > 0, x.std(0), 1)
@@ -129,16 +147,19 @@ def fit(docs: DataFrame, labels: DataFrame, settings: FitSettings = FitSettings(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out_q, out_b = [], []
-            for text, q in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            out_q, out_d, out_b = [], [], []
+            for text, q, doc in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 parts = blocks(text)
                 for i in sorted({len(parts) * k // s.fit_blocks for k in range(s.fit_blocks)} if parts else ()):
                     out_q.append(q)
+                    out_d.append(doc)
                     out_b.append(parts[i])
-            yield pa.RecordBatch.from_arrays([pa.array(out_q, pa.int32()), pa.array(out_b, pa.binary())], names=["quality", "block"])
+            yield pa.RecordBatch.from_arrays([pa.array(out_q, pa.int32()), pa.array(out_d, pa.int64()), pa.array(out_b, pa.binary())], names=["quality", "doc", "block"])
 
-    pieces = sample.where("teaches").select("text", "quality").mapInArrow(cut, "quality int, block binary").collect()
-    by = {q: sorted(bytes(r["block"]) for r in pieces if r["quality"] == q) for q in (0, 1)}
+    # The documents for the calibration help to tell which lines are shared; quality -1 marks theirs.
+    role = F.when(F.col("teaches"), F.col("quality")).otherwise(-1).alias("quality")
+    pieces = sample.select("text", role, F.xxhash64("doc_id").alias("doc")).mapInArrow(cut, "quality int, doc long, block binary").collect()
+    by = own_lines([(r["quality"], r["doc"], bytes(r["block"])) for r in pieces])
     good, bad = dictionary(by[1], s.dictionary_bytes), dictionary(by[0], s.dictionary_bytes)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
