@@ -13,7 +13,7 @@ from quillon.operators import mutations, views
 from quillon.plans import rewrite
 from quillon.plans.ast import Column, Literal, Parameter, Query, Simple, Start, all_of, any_of, cmp, exists, from_json, related
 from quillon.plans.compiler import Compiler
-from quillon.sources.catalog import parquet_catalog, with_overlay
+from quillon.sources.catalog import NameMapper, parquet_catalog, with_overlay
 from quillon.streaming import cdc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -466,3 +466,58 @@ def _crud(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mutations.crud(table, ops.unionByName(far), ["o_orderkey"], 1).select("o_orderkey", F.col("_op").alias("op"))
 
 
+
+
+@register(
+    "transitions",
+    f"""WITH d AS {DESIRES_SQL}, b AS (SELECT DISTINCT query FROM d WHERE inactivated_at IS NULL), a AS (SELECT DISTINCT query FROM d WHERE client < 2)
+SELECT coalesce(b.query, a.query) AS query, CASE WHEN b.query IS NULL THEN 'hydrate' ELSE 'remove' END AS action FROM b FULL OUTER JOIN a ON a.query = b.query WHERE a.query IS NULL OR b.query IS NULL""",
+)
+def _transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    now = desires(spark, sf_dir)
+    return views.transitions(now, now.where("client < 2").withColumn("inactivated_at", F.lit(None).cast("long")))
+
+
+@register(
+    "receive_rows",
+    """WITH o AS (SELECT o_orderkey, o_totalprice, o_orderkey % 7 <> 0 AS had, o_orderkey % 5 <> 0 AS got, o_orderkey % 3 = 0 AS changed FROM orders)
+SELECT o_orderkey::VARCHAR AS row_key, CASE WHEN had AND NOT got THEN 'del' WHEN got AND (NOT had OR changed) THEN 'put' END AS op, CASE WHEN got AND had AND NOT changed THEN 1 ELSE 2 END AS patch_version
+FROM o WHERE had OR got""",
+)
+def _receive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of most orders under one query; the query runs again, with some rows gone, new or changed."""
+    orders = parquet_catalog(spark, sf_dir).table("orders")
+    refs = F.create_map(F.lit("q"), F.lit(1).cast("long")).alias("refs")
+    base = orders.select(F.lit("orders").alias("table"), F.col("o_orderkey").cast("string").alias("row_key"), "o_orderkey", F.to_json(F.struct("o_orderkey", "o_totalprice")).alias("row"))
+    rows = base.where("o_orderkey % 7 <> 0").select("table", "row_key", F.lit("a").alias("row_version"), F.lit(1).alias("patch_version"), refs)
+    version = F.when(F.col("o_orderkey") % 3 == 0, "b").otherwise("a").alias("row_version")
+    updates = base.where("o_orderkey % 5 <> 0").select("table", "row_key", version, refs, "row")
+    return views.receive(rows, updates, F.lit(2), ["q"]).select("row_key", "op", "patch_version")
+
+
+@register("snapshot_diff", """SELECT CASE WHEN o_orderkey % 7 = 0 THEN 'remove' ELSE 'edit' END AS kind, '{"o_orderkey":' || o_orderkey || '}' AS row_key FROM orders WHERE o_orderkey % 7 = 0 OR o_orderkey % 5 = 0""")
+def _snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders, after = parquet_catalog(spark, sf_dir).table("orders"), changed_orders(spark, sf_dir)
+    touched = orders.where("o_orderkey % 7 = 0 OR o_orderkey % 5 = 0")
+    gone = F.col("o_orderkey") % 7 == 0
+    feed = touched.select(*orders.columns, F.lit(3).cast("long").alias("_version"), F.col("o_orderkey").alias("_pos"), F.when(gone, "delete").otherwise("update").alias("_op"))
+    log = cdc.change_log(feed, "orders", ["o_orderkey"])
+    return cdc.snapshot_diff(orders, after, log, ["o_orderkey"], 2).select("kind", "row_key")
+
+
+@register("renamed", "SELECT c_custkey AS id, c_acctbal AS balance FROM customer WHERE c_acctbal > 5000")
+def _renamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = NameMapper({"customer": ("account", {"c_custkey": "id", "c_acctbal": "balance"})})
+    rows = compiler(spark, sf_dir).rows(Query("customer", where=cmp("c_acctbal", ">", 5000.0)))
+    return names.rename("customer", rows).select("id", "balance")
+
+
+@register("messages", "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n = 1 AND event_type <> 'error'")
+def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as JSON messages of a change stream, decoded and applied."""
+    events = parquet_catalog(spark, sf_dir).table("events")
+    tag = F.when(F.col("event_type") == "error", "delete").otherwise("insert").alias("tag")
+    new, old = F.struct("user_id", "event_id").alias("new"), F.struct(F.col("user_id").cast("string").alias("user_id")).alias("old")
+    sent = events.select(F.to_json(F.struct(F.lit(1).alias("version"), F.col("event_id").alias("pos"), tag, new, old)).alias("value"))
+    feed = cdc.from_messages(sent, "user_id: bigint, event_id: bigint", USER)
+    return cdc.apply_changes(feed.select("user_id", "event_id").limit(0), feed, USER)

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,6 +19,25 @@ from quillon.sources.catalog import VERSION_COLUMN, row_key
 META = ("_version", "_pos", "_op")
 
 
+def feed_stream(spark: SparkSession, folder: str, schema: T.StructType | str, files_per_trigger: int | None = None) -> DataFrame:
+    """A feed's files as a stream; at most so many at a time, so that a backlog is worked off in steps."""
+    reader = spark.readStream.schema(schema)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.parquet(folder)
+
+
+def from_messages(messages: DataFrame, row_schema: str, key: Sequence[str], body: str = "value") -> DataFrame:
+    """JSON messages ``{version, pos, tag, new, old}`` as a feed; ``old`` has the former key of an update."""
+    old = ", ".join(f"{k}: string" for k in key)
+    parsed = messages.select(F.from_json(body, f"version bigint, pos bigint, tag string, new struct<{row_schema}>, old struct<{old}>").alias("m")).select("m.*")
+    row = parsed.schema["new"].dataType
+    kinds = {f.name: f.dataType for f in row.fields}
+    # A delete names its row by the old key alone.
+    columns = [(F.coalesce(f"new.{c}", F.col(f"old.{c}").cast(kinds[c])) if c in key else F.col(f"new.{c}")).alias(c) for c in kinds]
+    return parsed.select(*columns, F.col("version").alias("_version"), F.col("pos").alias("_pos"), F.col("tag").alias("_op"), *[F.col(f"old.{k}").cast(kinds[k]).alias(f"_old_{k}") for k in key])
+
+
 def committed(feed: DataFrame) -> DataFrame:
     """Without the transactions that were rolled back."""
     undone = feed.where("_op = 'rollback'").select("_version").distinct()
