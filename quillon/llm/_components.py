@@ -32,3 +32,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         current = stored(moved.unionByName(small.select("u", F.col("m").alias("v"))).distinct())
     roots = current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return current.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(roots)
+
+
+def joined_components(reached: DataFrame, edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """``reached`` (node, component) once ``edges`` are there too: only whole components are linked."""
+    name = lambda side: reached.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
+    named = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).join(name("x"), "x", "left").join(name("y"), "y", "left")
+    merged = components(named.select(F.coalesce("cx", "x").alias("p"), F.coalesce("cy", "y").alias("q")), "p", "q")
+    merged = merged.select(F.col("node").alias("component"), F.col("component").alias("root"))
+    moved = reached.join(merged, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
+    fresh = merged.join(reached.select(F.col("node").alias("component")), "component", "left_anti")
+    return moved.unionByName(fresh.select(F.col("component").alias("node"), F.col("root").alias("component")))

@@ -4,10 +4,14 @@ Every document's shingles are hashed once; the least hash of each of BANDS * ROW
 parts of the hash range is its signature, and an empty part borrows from the first filled
 part of its own fixed random sequence (optimal densification).  Documents with the same
 values in a band share a bucket.  Each bucket yields a star: edges from its smallest
-document to the others.  Edges are confirmed on the full shingle sets.  While a bucket
-still holds members of different components, further members become centres, twice as
-many each round, so a link that a star missed is found without listing all pairs of a
-bucket; buckets whose members are already joined need no more edges.
+document to the others.  Edges are confirmed on the full shingle sets, first each
+document's edge to its smallest centre, then those edges that still join components.
+
+A star can miss a link between two of its leaves.  Buckets whose members the stars have not
+joined are therefore compared in blocks of bounded size, each pair in the first bucket
+that it shares; blocks give out only the pairs that are similar enough, which are
+confirmed too.  The blocks' work grows with the square of such a bucket, their output
+does not.
 
 Documents with equal shingle sets are first made one, so copies never meet as pairs.
 
@@ -29,10 +33,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._components import components
+from quillon.llm._components import components, joined_components
 from quillon.llm._store import stored
 
 _U = np.uint64
@@ -47,6 +51,8 @@ class NearSettings:
     rows: int = 5
     #: Probes of a bin's random sequence that are tried at once.
     probes: int = 64
+    #: Documents of a block that are compared with those of another in one task.
+    block: int = 1000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -132,6 +138,61 @@ def _mapped(docs: DataFrame, schema: str, row: Callable[[], Callable]) -> DataFr
     return docs.mapInArrow(run, schema)
 
 
+def with_links(reached: DataFrame, links: DataFrame) -> DataFrame:
+    return reached if links.isEmpty() else stored(joined_components(reached, links))
+
+
+def _missed(buckets: DataFrame, reached: DataFrame, sets: DataFrame, s: NearSettings, kind: str) -> DataFrame:
+    """Pairs (a, b) of different components that a bucket holds and that seem similar enough.
+
+    Sets are compared by 32 bits of their hashes and against a bound a little lower, so
+    every true link is among the pairs.
+    """
+    placed = buckets.select("key", "id").join(reached.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    split = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("held")).where("x < y")
+    split = split.select("key", F.ceil(F.col("held") / s.block).cast("int").alias("blocks"))
+    members = stored(placed.join(split, "key").withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int")))
+
+    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cut = [np.unique((np.frombuffer(x, _U) >> _U(32)).astype(np.uint32)).tobytes() for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cut, pa.binary())], names=["id", "short"])
+
+    keys = members.groupBy("id").agg(F.array_sort(F.collect_list("key")).alias("keys"))  # a document has as many as bands
+    brief = sets.join(keys.select("id"), "id", "left_semi").mapInArrow(short, f"id {kind}, short binary").join(keys, "id")
+    met = members.join(brief, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "component", "keys", "short")
+
+    def compare(table: pa.Table) -> pa.Table:
+        key, lo, hi = table["key"][0].as_py(), table["lo"][0].as_py(), table["hi"][0].as_py()
+        ids, component, own = (table[c].to_pylist() for c in ("id", "component", "own"))
+        names = {c: i for i, c in enumerate(set(component))}
+        component, own = np.array([names[c] for c in component]), np.array(own)
+        arrays = [np.frombuffer(x, np.uint32) for x in table["short"].to_pylist()]
+        size = np.fromiter(map(len, arrays), np.int64, len(arrays))
+        _, local = np.unique(np.concatenate(arrays), return_inverse=True)
+        starts = np.r_[0, np.cumsum(size)[:-1]]
+        before = [frozenset(k for k in v if k < key) for v in table["keys"].to_pylist()]
+        marked, found = np.zeros(local.max() + 1, bool), []
+        for i in range(len(ids) - 1):
+            rest = np.arange(i + 1, len(ids))
+            fit = (component[rest] != component[i]) & (10 * np.minimum(size[rest], size[i]) >= (s.percent - 1) * np.maximum(size[rest], size[i]) / 10)
+            fit &= (own[rest] == lo) & (own[i] == hi) | (own[rest] == hi) & (own[i] == lo)
+            if not fit.any():
+                continue
+            mine = local[starts[i] : starts[i] + size[i]]
+            marked[mine] = True
+            shared = np.add.reduceat(marked[local[starts[i + 1] :]], starts[i + 1 :] - starts[i + 1], dtype=np.int64)
+            marked[mine] = False
+            for j in rest[fit & (100 * shared >= (s.percent - 1) * (size[rest] + size[i] - shared))].tolist():
+                if before[i].isdisjoint(before[j]):
+                    found.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+        kind_ = table.schema.field("id").type
+        return pa.table({"a": pa.array([p for p, _ in found], kind_), "b": pa.array([q for _, q in found], kind_)})
+
+    return met.groupBy("key", "lo", "hi").applyInArrow(compare, f"a {kind}, b {kind}")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: NearSettings = NearSettings()) -> DataFrame:
     """``id, n_shingles, component_id, kept`` for each row."""
     s = settings
@@ -186,22 +247,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         both = left.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
         return stored(both.select("a", "b", "sa", "sb").mapInArrow(confirm, f"a {kind}, b {kind}"))
 
-    links = confirmed(pairs)
-    tested, centres = 1, 1
-    while True:
-        reached = components(links)
-        placed = buckets.select("key", "id", "n").join(reached.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        split = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("held")).where(F.col("x") < F.col("y")).where(F.col("held") > tested + 1)
-        open_ = placed.join(split.select("key"), "key", "left_semi")
-        ranked = stored(open_.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("id"))))
-        # Ranks up to ``tested`` have been centres before; the next ones meet all later members of other components.
-        c = ranked.where((F.col("rank") > tested) & (F.col("rank") <= tested + centres)).select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("rank").alias("ra"))
-        o = ranked.where(F.col("rank") > tested).select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("rank").alias("rb"))
-        more = c.join(o, "key").where("ra < rb and ca <> cb").where(100 * F.least("na", "nb") >= s.percent * F.greatest("na", "nb")).select("a", "b").distinct()
-        tested, centres = tested + centres, centres * 2
-        if ranked.isEmpty():
-            break
-        links = links.unionByName(confirmed(more))
+    # Each document's edge to its smallest centre joins most of what there is to join.
+    nearest = buckets.where("id <> cid").where(fits).groupBy("id", "n").agg(F.min(F.struct("cid", "cn")).alias("c"))
+    reached = stored(components(confirmed(nearest.select(F.col("c.cid").alias("a"), F.col("id").alias("b")))))
+    side = lambda name: reached.select(F.col("node").alias(name), F.col("component").alias(f"c{name}"))
+    apart = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").where("NOT (coalesce(ca, a) <=> coalesce(cb, b))")
+    reached = with_links(reached, confirmed(apart))
+    reached = with_links(reached, confirmed(_missed(buckets, reached, sets, s, kind)))
     answer = classes.join(reached.withColumnRenamed("node", "rep"), "rep", "left").select("mark", F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("id", "n", "mark").join(answer, "mark", "left")
     component = F.coalesce("component_id", "id")
