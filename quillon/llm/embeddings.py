@@ -40,6 +40,8 @@ class CapSettings:
     #: Vectors of one filter that are compared at once; a filter with more is done block against block.
     block: int = 1500
     seed: int = 77
+    #: Codewords of each half at most; the filters are their pairs.
+    most_codewords: int = 4096
 
 
 def codes(dims: int, words: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -52,6 +54,28 @@ def codes(dims: int, words: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+def cap_bound(code: tuple[np.ndarray, np.ndarray], list_size: int, seed: int, vectors: int = 1000, draws: int = 8_000_000) -> float:
+    """The score that ``list_size`` of all filters exceed, on average over random unit vectors.
+
+    Estimated from random vectors, each with random filters; memory does not grow with the
+    number of filters.
+    """
+    r, half = np.random.default_rng(seed + 1), code[0].shape[1]
+    x = r.standard_normal((vectors, half + code[1].shape[1]))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    words = len(code[0])
+    keep = max(1, round(draws * min(1.0, list_size / (words * words))))
+    top = np.empty(0)
+    for _ in range(16):
+        some = r.integers(0, vectors, 40)
+        first, second = x[some, :half] @ code[0].T, x[some, half:] @ code[1].T
+        v, i, j = (r.integers(0, n, draws // 16) for n in (len(some), words, words))
+        top = np.concatenate([top, first[v, i] + second[v, j]])
+        if len(top) > keep:
+            top = np.partition(top, len(top) - keep)[len(top) - keep :]
+    return float(top.min())
+
+
 def decode(x: np.ndarray, code: tuple[np.ndarray, np.ndarray], bound: float, least_list: int) -> list[np.ndarray]:
     """The filters (i * words + j) of each unit vector, ascending.
 
@@ -86,14 +110,9 @@ def link_vectors(vectors: DataFrame, settings: CapSettings = CapSettings()) -> D
     classes = stored(rows.where("usable").groupBy("label", "x").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
     most = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     # So many filters that a filter holds about 64 of a label's vectors.
-    words = min(1024, max(48, math.ceil(math.sqrt(most * s.list_size / 64))))
-    spread = np.random.default_rng(1).standard_normal((2000, max(2, dims)))
-    spread /= np.linalg.norm(spread, axis=1, keepdims=True)
+    words = min(s.most_codewords, max(48, math.ceil(math.sqrt(most * s.list_size / 64))))
     code = codes(max(2, dims), words, s.seed)
-    half = spread.shape[1] // 2
-    sums = (spread[:, :half] @ code[0].T)[:, :, None] + (spread[:, half:] @ code[1].T)[:, None, :]
-    bound = float(np.quantile(sums[:: max(1, words * words // 5000)], 1 - s.list_size / (words * words)))
-    del sums
+    bound = cap_bound(code, s.list_size, s.seed)
 
     def caps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -222,7 +222,7 @@ def test_vectors(spark, block):
 
 def test_recall_at_the_bound():
     """Pairs at exactly the bound: more than 99.9 in 100 share a filter."""
-    from quillon.llm.embeddings import codes, decode
+    from quillon.llm.embeddings import cap_bound, codes, decode
 
     r, s = np.random.default_rng(2), CapSettings()
     x = r.standard_normal((4000, 64))
@@ -231,8 +231,8 @@ def test_recall_at_the_bound():
     z -= (z * x).sum(1, keepdims=True) * x
     z /= np.linalg.norm(z, axis=1, keepdims=True)
     y = 0.98 * x + math.sqrt(1 - 0.98**2) * z
-    for words in (48, 200):
+    for words in (48, 200, 1000):
         code = codes(64, words, s.seed)
-        bound = float(np.quantile((x[:200, :32] @ code[0].T)[:, :, None] + (x[:200, 32:] @ code[1].T)[:, None, :], 1 - s.list_size / words**2))
+        bound = cap_bound(code, s.list_size, s.seed)
         shared = [len(np.intersect1d(a, b)) > 0 for a, b in zip(decode(x, code, bound, s.least_list), decode(y, code, bound, s.least_list))]
         assert np.mean(shared) > 0.999
