@@ -67,27 +67,30 @@ def mutation_order(sent: DataFrame, last: Mapping[str, int] | DataFrame) -> Data
 
 
 class SlidingWindow:
-    """A rate limit over a window that slides: of the window before, the share still covered counts."""
+    """A rate limit over a window that slides across two fixed ones, aligned to its size.
+
+    The older window counts by the share of it that the sliding one still covers.
+    """
 
     def __init__(self, window_ms: int, most: int):
-        self.window, self.most = window_ms, most
-        self.start: int | None = None
-        self.counts = [0, 0]  # the window before, the current one
+        self.size, self.most = window_ms, most
+        self.newer: int | None = None  # start of the newer window
+        self.counts = [0, 0]
 
     def weight(self, now: int) -> float:
-        if self.start is None:
+        if self.newer is None:
             return 0.0
-        past = min(1.0, max(0.0, (now - self.start) / self.window))
-        return self.counts[0] * (1 - past) + self.counts[1]
+        covered = 1.0 if now < self.newer else max(0.0, (self.newer + self.size - 1 - now) / self.size)
+        return self.counts[0] * covered + self.counts[1]
 
     def allow(self, now: int) -> bool:
         """Whether one more call may go at ``now``; only allowed calls count."""
-        if self.start is None or now >= self.start + 2 * self.window:
-            self.start, self.counts = now, [0, 0]
-        elif now >= self.start + self.window:
-            self.start, self.counts = self.start + self.window, [self.counts[1], 0]
+        if self.newer is None or now > self.newer + 2 * self.size:
+            self.newer, self.counts = now - now % self.size + self.size, [0, 0]
+        elif now >= self.newer + self.size:
+            self.newer, self.counts = self.newer + self.size, [self.counts[1], 0]
         ok = self.weight(now) < self.most
-        self.counts[1] += ok
+        self.counts[now >= self.newer] += ok
         return ok
 
 
