@@ -344,10 +344,10 @@ def _catchup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cdc.catch_up(cdc.change_log(feed, "users", USER), now, USER, 29, 59).select("row_key", "op")
 
 
-@register("cdc_truncate", f"SELECT user_id, event_id FROM {LAST_SQL.format('event_id > 5000')} WHERE n = 1 AND event_type <> 'error'")
+@register("cdc_truncate", f"SELECT user_id, event_id FROM {LAST_SQL.format('event_id > 500')} WHERE n = 1 AND event_type <> 'error'")
 def _truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
     feed = user_feed(spark, sf_dir)
-    feed = feed.withColumn("_op", F.when(F.col("event_id") == 5000, "truncate").otherwise(F.col("_op")))
+    feed = feed.withColumn("_op", F.when(F.col("event_id") == 500, "truncate").otherwise(F.col("_op")))
     return cdc.apply_changes(feed.drop(*cdc.META).where("event_id < 300").dropDuplicates(["user_id"]), feed, USER).select("user_id", "event_id")
 
 
