@@ -79,9 +79,12 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry:
     dealt into chunks by a seeded hash, so its rows are numbered by many tasks at once.
     """
     spark = docs.sparkSession
-    sized = docs.select(F.col(id_col), *carry, word_count(F.col(text_col)).alias("n_tokens"))
-    if not carry:
-        sized = stored(sized)
+    if carry:
+        # Texts are carried along, so nothing is stored; explode keeps the optimizer from
+        # copying the count of words into every expression over it.
+        sized = docs.select(F.col(id_col), *carry, F.explode(F.array(word_count(F.col(text_col)))).alias("n_tokens"))
+    else:
+        sized = stored(docs.select(F.col(id_col), word_count(F.col(text_col)).alias("n_tokens")))
     sized = sized.withColumn("length", coarse(F.col("n_tokens")))
     histogram = sized.groupBy("length").count().collect()
     bounds = optimal_boundaries([r["length"] for r in histogram], [r["count"] for r in histogram], buckets)

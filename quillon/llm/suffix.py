@@ -50,7 +50,7 @@ class SuffixSettings:
     batch_bytes: int = 8_000_000
     #: Hashes that one task compares, and suffixes that one task merges, on average.
     part_hashes: int = 3_000_000
-    range_suffixes: int = 500_000
+    range_suffixes: int = 250_000
     #: Batches and suffixes of each that are sampled to place the ranges' borders.
     sample_batches: int = 1000
     sample_suffixes: int = 40
@@ -276,17 +276,22 @@ def smallest_documents(contexts: np.ndarray, group: np.ndarray, smallest: np.nda
     size = np.bincount(group)
     many = np.flatnonzero(size[group] > 1)
     if len(many):
-        # Bytes in text order: what stands before the anchor is stored nearest first.
-        line = np.concatenate([contexts[many, s.length : s.length + reach][:, ::-1], contexts[many, : s.length]], axis=1)
         r = np.random.default_rng(s.seed + 1)
         table, base = r.integers(1, 1 << 63, 256, dtype=_U), int(r.integers(1 << 40, 1 << 62)) | 1
-        prefix = np.zeros((len(many), line.shape[1] + 1), _U)
-        for i in range(line.shape[1]):
-            prefix[:, i + 1] = prefix[:, i] * _U(base) + table[line[:, i]]
-        power = _U(pow(base, s.length, 1 << 64))
-        row, col = np.nonzero(inside[many])
-        value = prefix[row, line.shape[1] - col] - prefix[row, reach - col] * power
-        value = (value ^ (value >> _U(31))) * _U(0x94D049BB133111EB) + col.astype(_U) * _U(0x9E3779B97F4A7C15) + group[many[row]].astype(_U) * _U(0xD6E8FEB86659FD93)
+        power, parts = _U(pow(base, s.length, 1 << 64)), []
+        for x in range(0, len(many), 20_000):
+            some = many[x : x + 20_000]
+            # Bytes in text order: what stands before the anchor is stored nearest first.
+            line = np.concatenate([contexts[some, s.length : s.length + reach][:, ::-1], contexts[some, : s.length]], axis=1)
+            prefix = np.zeros((len(some), line.shape[1] + 1), _U)
+            for i in range(line.shape[1]):
+                prefix[:, i + 1] = prefix[:, i] * _U(base) + table[line[:, i]]
+            row, col = np.nonzero(inside[some])
+            value = prefix[row, line.shape[1] - col] - prefix[row, reach - col] * power
+            value = (value ^ (value >> _U(31))) * _U(0x94D049BB133111EB) + col.astype(_U) * _U(0x9E3779B97F4A7C15) + group[some[row]].astype(_U) * _U(0xD6E8FEB86659FD93)
+            parts.append((value, (row + x).astype(np.int32), col.astype(np.int8)))
+        value, row, col = (np.concatenate(p) for p in zip(*parts, strict=True))
+        del parts
         order = np.argsort(value, kind="stable")
         edge = np.flatnonzero(np.r_[True, value[order][1:] != value[order][:-1]])
         least = np.minimum.reduceat(smallest[many[row[order]]], edge)
@@ -497,9 +502,9 @@ def _removed(b: Batch, spans: list[bytes] | None) -> np.ndarray:
     for blob in spans or ():
         ordinal, start, end = np.frombuffer(unpacked(blob), np.int32).reshape(3, -1)
         offset = b.starts[ordinal]
-        change += np.bincount(offset + start, minlength=len(change)).astype(np.int32)
-        change -= np.bincount(offset + end, minlength=len(change)).astype(np.int32)
-    return np.cumsum(change[:-1]) > 0
+        np.add.at(change, offset + start, 1)
+        np.add.at(change, offset + end, -1)
+    return np.cumsum(change[:-1], out=change[:-1]) > 0
 
 
 def dedup_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: SuffixSettings = SuffixSettings()) -> DataFrame:
