@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Fixed by the replicated tables' format.
 VERSION_COLUMN = "_0_version"
 
 
