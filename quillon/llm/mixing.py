@@ -2,11 +2,11 @@
 
 Each source is dealt into shards by a seeded hash, and each shard's documents, in seeded
 order, are one run of words cut into blocks of equal size (the last may be short).  Blocks
-are the seats: they go to the sources, and within a source to its shards, by highest
-quotient ``weight / (2 * seats + 1)``, which yields integer quotas.  A shard takes its
-quota as one run of blocks from a seeded start, round the end to the beginning and through
-all its documents for each full pass, so a document is taken whole but where the run
-begins or ends.
+are the seats that go to the sources, and the words they hold go to the source's shards,
+both by highest quotient ``weight / (2 * seats + 1)``, which yields integer quotas.  A
+shard takes its quota as one run of words from the start of a seeded block, round the end
+to the beginning and through all its documents for each full pass, so a document is taken
+whole but where the run begins or ends.
 
 The block size follows from the total, so that a seat weighs the same share of any corpus.
 
@@ -161,10 +161,11 @@ def _quotas(shards: list, want: list[float], block: int, s: MixSettings) -> list
     out = []
     for k, seat in zip(keys, seats, strict=True):
         rows = by_source[k]
-        each = sainte_lague([float(r["size"]) for r in rows], seat, [s.cap * -(-r["size"] // block) for r in rows])
-        for r, q in zip(rows, each, strict=True):
+        # Word by word, as a block may be larger than a shard.
+        quota = min(seat * block, s.cap * sum(r["size"] for r in rows))
+        each = sainte_lague([float(r["size"]) for r in rows], quota, [s.cap * r["size"] for r in rows])
+        for r, words in zip(rows, each, strict=True):
             n = -(-r["size"] // block)  # its blocks; the last may be short
-            words = min(q * block, s.cap * r["size"])
             passes, run = divmod(words, r["size"]) if n else (0, 0)
             start = (s.seed * 7919 + r["shard"] * 104729 + k * 1299709) % n * block if n else 0
             out.append((k, r["shard"], r["size"], passes, start, run))

@@ -8,7 +8,7 @@ import re
 
 import pytest
 
-from quillon.llm.mixing import MixSettings, mix_documents, mix_plan, sainte_lague, targets, word_range
+from quillon.llm.mixing import MixSettings, _quotas, mix_documents, mix_plan, sainte_lague, targets, word_range
 from quillon.llm.packing import optimal_boundaries, pack
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -80,6 +80,24 @@ def test_shards_and_blocks(docs):
         assert abs(sum(taken) - target) <= 0.05 * target + 12 * block
 
 
+def quota_words(shards, settings):
+    """Words taken of each source, given its shards' sizes, and the targets."""
+    want = targets([sum(x) for x in shards])
+    rows = [{"k": k, "shard": i, "size": n} for k, x in enumerate(shards) for i, n in enumerate(x)]
+    taken = [0] * len(shards)
+    for k, shard, n, passes, start, run in _quotas(rows, want, max(1, round(sum(want) / settings.blocks)), settings):
+        assert 0 <= passes * n + run <= 2 * n == 2 * shards[k][shard] and 0 <= start <= n
+        taken[k] += passes * n + run
+    return taken, want
+
+
+def test_blocks_larger_than_shards():
+    """Short rows make shards smaller than half a block; their source still meets its target."""
+    shards = [[2_000_000] * 800, [40_000] * 2500, [20_000] * 2500, [2_000_000] * 1600]
+    taken, want = quota_words(shards, MixSettings())
+    assert all(abs(t - w) <= 120_000 for t, w in zip(taken, want))
+
+
 def test_word_range():
     assert word_range("  a  bb\n é  d ", 1, 3) == "bb\n é"
     assert word_range("a a a", 1, 2) == "a"
