@@ -1,14 +1,14 @@
 """Mixing sources to target weights by Sainte-Lague apportionment.
 
 Each source is dealt into shards by a seeded hash, and each shard's documents, in seeded
-order, are one run of words cut into blocks of equal size (the last may be short).  Blocks
-are the seats that go to the sources, and the words they hold go to the source's shards,
-both by highest quotient ``weight / (2 * seats + 1)``, which yields integer quotas.  A
-shard takes its quota as one run of words from the start of a seeded block, round the end
-to the beginning and through all its documents for each full pass, so a document is taken
-whole but where the run begins or ends.
+order, are one run of words.  Words are the seats: they go to the sources, and within a
+source to its shards, by highest quotient ``weight / (2 * seats + 1)``, which yields integer
+quotas, so that the smallest source and shard have theirs at any size of the corpus.  A
+shard takes its quota as one run from a seeded start, round the end to the beginning and
+through all its documents for each full pass, so a document is taken whole but where the
+run begins or ends.
 
-The block size follows from the total, so that a seat weighs the same share of any corpus.
+Runs start at blocks of equal size (a shard's last may be short), which follows from the total.
 
 Defined cases: a null text has size 0 and is taken 0 times; sources are ordered by code
 point with null last, and null is a source of its own; ties of quotients go to the
@@ -100,7 +100,7 @@ class MixSettings:
     cap: int = 2
     weights: tuple[int, ...] = WEIGHTS
     seed: int = 1847
-    #: Seats of the whole mix; a block is so much of the total.
+    #: Blocks of the whole mix, at whose beginnings runs start; a block is so much of the total.
     blocks: int = 1 << 16
     #: Documents a shard holds on average, which bounds the rows that one task sorts.
     shard_docs: int = 2000
@@ -155,14 +155,12 @@ def _quotas(shards: list, want: list[float], block: int, s: MixSettings) -> list
     by_source: dict[int, list] = {}
     for r in sorted(shards, key=lambda r: (r["k"], r["shard"])):
         by_source.setdefault(r["k"], []).append(r)
-    room = {k: sum(s.cap * -(-r["size"] // block) for r in rows) for k, rows in by_source.items()}
     keys = sorted(by_source)
-    seats = sainte_lague([want[k] for k in keys], round(sum(want) / block), [room[k] for k in keys])
+    # Word by word, as a block may be larger than a source or a shard.
+    words_of = sainte_lague([want[k] for k in keys], round(sum(want)), [s.cap * sum(r["size"] for r in by_source[k]) for k in keys])
     out = []
-    for k, seat in zip(keys, seats, strict=True):
+    for k, quota in zip(keys, words_of, strict=True):
         rows = by_source[k]
-        # Word by word, as a block may be larger than a shard.
-        quota = min(seat * block, s.cap * sum(r["size"] for r in rows))
         each = sainte_lague([float(r["size"]) for r in rows], quota, [s.cap * r["size"] for r in rows])
         for r, words in zip(rows, each, strict=True):
             n = -(-r["size"] // block)  # its blocks; the last may be short

@@ -98,6 +98,16 @@ def test_blocks_larger_than_shards():
     assert all(abs(t - w) <= 120_000 for t, w in zip(taken, want))
 
 
+def test_sources_smaller_than_blocks(spark):
+    shards = [[2_000_000] * 800, [20_000], [2_000_000] * 1600, [0, 300], [30_000, 30_000]]
+    taken, want = quota_words(shards, MixSettings())
+    assert all(abs(t - w) <= 2 for t, w in zip(taken, want))
+    rows = [(i, "a b c d e f", "large") for i in range(400)] + [(400, "a b c", "small"), (401, "a b c d", None)]
+    mix = mix_plan(spark.createDataFrame(rows, "doc_id long, text string, source string"), settings=MixSettings(blocks=100)).collect()
+    taken = {r["doc_id"]: (r["taken"], r["target"]) for r in mix if r["doc_id"] >= 400}
+    assert all(t > 0 and abs(t - w) <= 2 for t, w in taken.values())
+
+
 def test_word_range():
     assert word_range("  a  bb\n é  d ", 1, 3) == "bb\n é"
     assert word_range("a a a", 1, 2) == "a"
