@@ -3,8 +3,8 @@
 Markup is stripped into one line for each block element.  Menus, headers, footers,
 sidebars, notices, adverts, forms, comments of readers, scripts and styles are recognised
 by element, role, class or id and leave no line.  Text lengths are summed over a sliding
-window of lines; where the sum surges the main text begins, where it dives to nothing it
-ends, and the lines between are kept.  Where a page marks its article, only lines inside
+window of lines; where the sum first surges the main text begins, where it last dives to
+nothing it ends, and all lines between are kept, lists of links too.  Where a page marks its article, only lines inside
 it have a length, so surge and dive fall on its first and last line.
 
 Defined cases: null, empty or text-free html gives an empty text; markup that is not
@@ -133,21 +133,15 @@ def main_text(html: str | None) -> str:
         # Lines that are mostly links are menus.
         weight = [0 if 2 * linked > len(t) else len(t) for t, linked, _ in found]
     sums = [sum(weight[i : i + WINDOW]) for i in range(len(weight))]
-    regions, i = [], 0
-    while i < len(sums):
-        if weight[i] and sums[i] > SURGE:
-            j = i
-            while j < len(sums) and sums[j]:
-                j += 1
-            regions.append((i, j))
-            i = j
-        else:
-            i += 1
-    if not marked and regions:
-        regions = [max(regions, key=lambda r: sum(weight[r[0] : r[1]]))]
-    elif not regions and not marked:
-        regions = [(0, len(found))]
-    return " ".join(t for a, b in regions for (t, _, _), w in zip(found[a:b], weight[a:b], strict=True) if w)
+    surges = [i for i, w in enumerate(weight) if w and sums[i] > SURGE]
+    kept = surges or [i for i, w in enumerate(weight) if w]
+    if not kept:
+        return ""
+    last = kept[-1]
+    while surges and last + 1 < len(sums) and sums[last + 1]:
+        last += 1
+    # A list of links parts the text that it stands in, so all between the first surge and the last dive is text.
+    return " ".join(t for t, _, _ in found[kept[0] : last + 1])
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

@@ -133,6 +133,25 @@ def test_main_text(html, want):
     assert main_text(html) == want
 
 
+LINKS = "<ul><li><a href=1>First source</a></li><li><a href=2>Second source</a></li><li><a href=3>Third source</a></li></ul>"
+SOURCES = "First source Second source Third source"
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        (f"<div><p>{LONG}</p><p>{LONG}</p>{LINKS}<p>{LONG}</p></div>", f"{LONG} {LONG} {SOURCES} {LONG}"),
+        (f"<div><p>{LONG}</p>{LINKS}<p>Short.</p>{LINKS}<p>{LONG}</p></div>", f"{LONG} {SOURCES} Short. {SOURCES} {LONG}"),
+        (f"<div><p>{LONG}</p><p><a href=1>Linked</a></p><p>{LONG}</p></div>", f"{LONG} Linked {LONG}"),
+        (f"<div>{LINKS}<p>{LONG}</p>{LINKS}</div>", LONG),
+        (LINKS, ""),
+        (f"<p>a</p>{LINKS}<p>b</p>{LINKS}", f"a {SOURCES} b"),
+    ],
+)
+def test_lists_of_links_part_no_text(html, want):
+    assert main_text(html) == want
+
+
 def test_pages(spark, sf):
     import re
     from html import unescape
