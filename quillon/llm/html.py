@@ -4,8 +4,9 @@ Markup is stripped into one line for each block element.  Menus, headers, footer
 sidebars, notices, adverts, forms, comments of readers, scripts and styles are recognised
 by element, role, class or id and leave no line.  Text lengths are summed over a sliding
 window of lines; where the sum first surges the main text begins, where it last dives to
-nothing it ends, and all lines between are kept, lists of links too.  Where a page marks its article, only lines inside
-it have a length, so surge and dive fall on its first and last line.
+nothing it ends, and all lines between are kept, lists of links too.  An article
+that a page marks is a hint only: its lines are text however short or linked they are, and
+all other lines go through the windows by their length as on any page.
 
 Defined cases: null, empty or text-free html gives an empty text; markup that is not
 closed or cut off is read as far as it goes; very long pages are read whole; equal pages
@@ -126,20 +127,18 @@ def lines(html: str) -> list[tuple[str, int, bool]]:
 
 def main_text(html: str | None) -> str:
     found = lines(html or "")
-    marked = any(m for _, _, m in found)
-    if marked:
-        weight = [len(t) + SURGE if m else 0 for t, _, m in found]
-    else:
-        # Lines that are mostly links are menus.
-        weight = [0 if 2 * linked > len(t) else len(t) for t, linked, _ in found]
+    # Lines that are mostly links are menus, unless they stand in an article.
+    weight = [0 if not main and 2 * linked > len(t) else len(t) for t, linked, main in found]
     sums = [sum(weight[i : i + WINDOW]) for i in range(len(weight))]
     surges = [i for i, w in enumerate(weight) if w and sums[i] > SURGE]
-    kept = surges or [i for i, w in enumerate(weight) if w]
+    articles = [i for i, (_, _, main) in enumerate(found) if main]
+    kept = sorted({*surges, *articles}) or [i for i, w in enumerate(weight) if w]
     if not kept:
         return ""
-    last = kept[-1]
+    last = surges[-1] if surges else kept[-1]
     while surges and last + 1 < len(sums) and sums[last + 1]:
         last += 1
+    last = max(last, kept[-1])
     # A list of links parts the text that it stands in, so all between the first surge and the last dive is text.
     return " ".join(t for t, _, _ in found[kept[0] : last + 1])
 

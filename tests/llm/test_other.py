@@ -152,6 +152,19 @@ def test_lists_of_links_part_no_text(html, want):
     assert main_text(html) == want
 
 
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        (f"<div><p>{LONG}</p><p>{LONG}</p></div><article><p>Card</p></article><div><p>{LONG}</p></div>", f"{LONG} {LONG} Card {LONG}"),
+        (f"<article><p>Card</p></article><div><p>{LONG}</p></div>{LINKS}", f"Card {LONG}"),
+        (f"{LINKS}<article><p>{LONG}</p>{LINKS}</article>{LINKS}", f"{LONG} {SOURCES}"),
+        (f"<p>Site</p>{LINKS}<article><h1>T</h1><p>b</p></article>{LINKS}<p>Imprint</p>", "T b"),
+    ],
+)
+def test_marked_article_is_a_hint(html, want):
+    assert main_text(html) == want
+
+
 def test_pages(spark, sf):
     import re
     from html import unescape
