@@ -2,19 +2,21 @@
 
 A filter direction joins one codeword from each of two random codes, one for either half
 of the coordinates.  A vector is list-decoded to all filters whose direction it exceeds a
-threshold towards; vectors of one label that share a filter are compared in double
-precision.  A pair is counted in the smallest filter that both have, so pairs need no
-deduplication, and equal vectors are first made one, with its multiplicity.
+threshold towards; vectors of one label and length that share a filter are compared in
+double precision.  Each length that occurs has a code of its own, or a single filter where
+no label has more than a few vectors of it.  A pair is counted in the smallest filter that
+both have, so pairs need no deduplication, and equal vectors are first made one, with its
+multiplicity.
 
 Recall: the threshold gives ``list_size`` filters on average and every vector at least
 ``least_list``, so that pairs at the 0.98 bound share one with a probability measured in
 tests/llm (above 0.999); none below the bound is linked.
 
-Defined cases: vectors that are null, empty, zero, of another length than most of the
-table's (its largest length), or hold null or non-finite components, and those with a
-null label, link with nothing and are their own component; equal vectors of one label
-link with each other; repeated rows (equal vec_id) count as vectors each; an empty table
-gives an empty result; other columns are not read.
+Defined cases: vectors that are null, empty, zero or hold null or non-finite components,
+and those with a null label, link with nothing and are their own component; vectors of
+different lengths do not link, those of equal length do, whatever other lengths occur;
+equal vectors of one label link with each other; repeated rows (equal vec_id) count as
+vectors each; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -40,6 +42,8 @@ class CapSettings:
     #: Vectors of one filter that are compared at once; a filter with more is done block against block.
     block: int = 1500
     seed: int = 77
+    #: Vectors of a label up to which a length has a single filter, in which all are compared.
+    few: int = 64
     #: Codewords of each half at most; the filters are their pairs.
     most_codewords: int = 4096
 
@@ -103,31 +107,45 @@ def link_vectors(vectors: DataFrame, settings: CapSettings = CapSettings()) -> D
     s = settings
     id_kind = vectors.schema["vec_id"].dataType.simpleString()
     rows = vectors.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("x"))
-    dims = rows.agg(F.max(F.size("x"))).first()[0] or 0
     finite = F.forall("x", lambda v: F.coalesce((F.abs(v) < float("inf")) & ~F.isnan(v), F.lit(False)))
-    usable = F.coalesce(F.col("label").isNotNull() & (F.size("x") == max(1, dims)) & finite & F.exists("x", lambda v: v != 0), F.lit(False))
+    usable = F.coalesce(F.col("label").isNotNull() & (F.size("x") > 0) & finite & F.exists("x", lambda v: v != 0), F.lit(False))
     rows = rows.withColumn("usable", usable)
     classes = stored(rows.where("usable").groupBy("label", "x").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
-    most = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    # So many filters that a filter holds about 64 of a label's vectors.
-    words = min(s.most_codewords, max(48, math.ceil(math.sqrt(most * s.list_size / 64))))
-    code = codes(max(2, dims), words, s.seed)
-    bound = cap_bound(code, s.list_size, s.seed)
+    lengths = classes.groupBy("label", F.size("x").alias("dims")).count().groupBy("dims").agg(F.max("count").alias("most")).where(F.col("most") > s.few)
+    shapes = {}  # length: codewords, bound
+    for dims, most in lengths.collect():
+        # So many filters that a filter holds about 64 of a label's vectors.
+        words = min(s.most_codewords, max(48, math.ceil(math.sqrt(most * s.list_size / 64))))
+        shapes[dims] = words, cap_bound(codes(max(2, dims), words, s.seed), s.list_size, s.seed)
 
     def caps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            x = np.array(batch.column(2).to_pylist(), np.float64).reshape(batch.num_rows, -1)
-            x = x / np.abs(x).max(axis=1, keepdims=True)
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
-            lists = decode(x, code, bound, s.least_list)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([v.tobytes() for v in x], pa.binary()), batch.column(3), pa.array(lists, pa.list_(pa.int32()))], names=["rep", "label", "x", "copies", "filters"])
+            vectors = batch.column(2).to_pylist()
+            sizes = np.fromiter(map(len, vectors), np.int64, len(vectors))
+            raw, lists = [b""] * len(vectors), [np.zeros(1, np.int32)] * len(vectors)
+            for dims in np.unique(sizes).tolist():
+                at = np.flatnonzero(sizes == dims).tolist()
+                x = np.array([vectors[i] for i in at], np.float64)
+                x = x / np.abs(x).max(axis=1, keepdims=True)
+                x /= np.linalg.norm(x, axis=1, keepdims=True)
+                for i, v in zip(at, x, strict=True):
+                    raw[i] = v.tobytes()
+                if dims in shapes:
+                    words, bound = shapes[dims]
+                    if dims not in made:
+                        made[dims] = codes(max(2, dims), words, s.seed)
+                    found = decode(x if dims > 1 else np.pad(x, ((0, 0), (0, 1))), made[dims], bound, s.least_list)
+                    for i, filters in zip(at, found, strict=True):
+                        lists[i] = filters
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(raw, pa.binary()), batch.column(3), pa.array(lists, pa.list_(pa.int32()))], names=["rep", "label", "dims", "x", "copies", "filters"])
 
     label_kind = vectors.schema["label"].dataType.simpleString()
-    decoded = classes.select("rep", "label", "x", "copies").mapInArrow(caps, f"rep {id_kind}, label {label_kind}, x binary, copies long, filters array<int>")
+    decoded = classes.select("rep", "label", "x", "copies").mapInArrow(caps, f"rep {id_kind}, label {label_kind}, dims int, x binary, copies long, filters array<int>")
     decoded = stored(decoded)
     keyed = decoded.withColumn("filter", F.explode("filters"))
-    held = keyed.groupBy("label", "filter").count().where("count > 1").withColumn("blocks", F.ceil(F.col("count") / s.block).cast("int"))
-    met = keyed.join(held.select("label", "filter", "blocks"), ["label", "filter"])
+    held = keyed.groupBy("label", "dims", "filter").count().where("count > 1").withColumn("blocks", F.ceil(F.col("count") / s.block).cast("int"))
+    met = keyed.join(held.select("label", "dims", "filter", "blocks"), ["label", "dims", "filter"])
     met = met.withColumn("own", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
     # Block against block: a row goes to each pair of blocks that holds its own.
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
@@ -169,7 +187,7 @@ def link_vectors(vectors: DataFrame, settings: CapSettings = CapSettings()) -> D
         return pa.table({"rep": pa.array(ids[hit]).cast(table.schema.field("rep").type), "links": pa.array(links[hit]), "towards": pa.array(ids[nearest[hit]]).cast(table.schema.field("rep").type)})
 
     found = stored(
-        met.select("label", "filter", "lo", "hi", "own", "rep", "copies", "x", "filters").groupBy("label", "filter", "lo", "hi").applyInArrow(compare, f"rep {id_kind}, links long, towards {id_kind}")
+        met.select("label", "dims", "filter", "lo", "hi", "own", "rep", "copies", "x", "filters").groupBy("label", "dims", "filter", "lo", "hi").applyInArrow(compare, f"rep {id_kind}, links long, towards {id_kind}")
     )
     reached = components(found, "rep", "towards")
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))

@@ -252,6 +252,24 @@ def test_vectors(spark, block):
     assert link_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_of_other_lengths(spark):
+    """A stray longer vector turns nothing off; vectors link within their label and length."""
+    r, rows = np.random.default_rng(9), []
+    for dims, pairs in ((16, 50), (17, 2), (3, 1), (1, 1)):
+        for _ in range(pairs):
+            v = r.standard_normal(dims).astype(np.float32).tolist()
+            rows += [(len(rows), v, 1), (len(rows) + 1, [2.0 * c for c in v], 1)]
+    strays = [([1.0] * 65, None), ([math.nan] * 65, 1), ([1.0] * 64, 1), ([0.0] * 80, 1)]
+    rows += [(len(rows) + i, v, lab) for i, (v, lab) in enumerate(strays)]
+    got = {x["vec_id"]: x for x in link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    usable = len(rows) - len(strays)
+    for i in range(len(rows)):
+        paired = i < usable
+        assert (got[i]["n_links"] > 0) == paired and got[i]["kept"] == (not paired or got[i]["component_id"] == i)
+        assert not paired or len(rows[got[i]["component_id"]][1]) == len(rows[i][1])
+    assert sum(got[i]["n_links"] == 1 for i in range(usable)) >= usable - 6
+
+
 def test_recall_at_the_bound():
     """Pairs at exactly the bound: more than 99.9 in 100 share a filter."""
     from quillon.llm.embeddings import cap_bound, codes, decode
