@@ -110,6 +110,11 @@ class MixSettings:
     broadcast_sources: int = 50_000
 
 
+def _row_keys(id_col: str, text_col: str, source_col: str) -> list[Column]:
+    """Two hashes that only rows of equal id, source and text share, nulls included."""
+    return [F.xxhash64(id_col, source_col).alias("__mix_a"), F.xxhash64(F.lit(1), F.coalesce(F.col(text_col), F.lit(""))).alias("__mix_b")]
+
+
 def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", settings: MixSettings = MixSettings()) -> DataFrame:
     """Per row: id, size, source_size, target, taken, and what is taken: whole passes and word ranges.
 
@@ -117,8 +122,14 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     one row for each source and one for each shard, of ``shard_docs`` documents each; texts
     are not shuffled at all.
     """
+    return _plan(docs, id_col, text_col, source_col, settings, [])
+
+
+def _plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, settings: MixSettings, keys: list[Column]) -> DataFrame:
+    """The plan, with ``keys`` of the input's rows carried along."""
     spark, s = docs.sparkSession, settings
-    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *keys)
+    carried = sized.columns[3:]
     sized = stored(sized)
     totals = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("docs")).collect()
     totals.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
@@ -130,7 +141,7 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
         sources = F.broadcast(sources)
     dealt = sized.join(sources, sized["source"].eqNullSafe(sources["source"])).select(
         "id", "size", "k", "source_size", "target",
-        F.pmod(F.xxhash64(F.lit(s.seed), "id"), "shards").cast("int").alias("shard"),
+        F.pmod(F.xxhash64(F.lit(s.seed), "id"), "shards").cast("int").alias("shard"), *carried,
     )
     quotas = _quotas(dealt.groupBy("k", "shard").agg(F.sum("size").alias("size")).collect(), want, block, s)
     shard_rows = spark.createDataFrame(quotas, "k int, shard int, shard_size long, passes int, run_start long, run_length long")
@@ -146,7 +157,7 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     taken = F.col("passes") * F.col("size") + F.aggregate(parts, F.lit(0).cast("long"), lambda a, p: a + p["end"] - p["start"])
     return joined.select(
         F.col("id").alias(id_col), "size", "source_size", "target", taken.alias("taken"),
-        F.col("passes"), parts.alias("parts"),
+        F.col("passes"), parts.alias("parts"), *carried,
     )
 
 
@@ -173,13 +184,20 @@ def _quotas(shards: list, want: list[float], block: int, s: MixSettings) -> list
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", settings: MixSettings = MixSettings()) -> DataFrame:
     """The mix itself, with the input's columns: a row for each whole pass and each range of words.
 
-    doc_id must be unique here, as the plan finds its text by it.
+    Rows are found by hashes of id, source and text, so null ids and repeated rows come
+    through; of rows equal in all three, each has one of their shares.
     """
-    plan = mix_plan(docs, id_col, text_col, source_col, settings).where("taken > 0")
-    plan = plan.select(F.col(id_col).alias("__mix_id"), F.col("passes").alias("__mix_passes"), F.col("parts").alias("__mix_parts"), F.col("size").alias("__mix_size"))
-    joined = docs.join(plan, docs[id_col] == plan["__mix_id"])
-    whole = F.array_repeat(F.struct(F.lit(0).cast("long").alias("start"), F.col("__mix_size").alias("end")), F.col("__mix_passes"))
-    rows = joined.withColumn("__mix_part", F.explode(F.concat(whole, "__mix_parts"))).select(*[docs[c] for c in docs.columns], "__mix_part.start", "__mix_part.end", "__mix_size")
+    keys = _row_keys(id_col, text_col, source_col)
+    plan = _plan(docs, id_col, text_col, source_col, settings, keys).where("taken > 0")
+    share = F.struct(F.col("passes"), F.col("parts"), F.col("size"))
+    shares = plan.groupBy("__mix_a", "__mix_b").agg(F.collect_list(share).alias("__mix_shares"))
+    joined = docs.select("*", *keys).join(shares, ["__mix_a", "__mix_b"])
+    among = Window.partitionBy("__mix_a", "__mix_b").orderBy("__mix_b")
+    numbered = joined.withColumn("__mix_n", F.row_number().over(among)).where(F.col("__mix_n") <= F.size("__mix_shares"))
+    own = numbered.withColumn("__mix_share", F.element_at("__mix_shares", F.col("__mix_n")))
+    size = F.col("__mix_share.size").alias("__mix_size")
+    whole = F.array_repeat(F.struct(F.lit(0).cast("long").alias("start"), F.col("__mix_share.size").alias("end")), F.col("__mix_share.passes"))
+    rows = own.withColumn("__mix_part", F.explode(F.concat(whole, "__mix_share.parts"))).select(*docs.columns, "__mix_part.start", "__mix_part.end", size)
     at, out_schema = docs.columns.index(text_col), docs.schema
     counted = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 

@@ -69,6 +69,18 @@ def test_mix(docs, corpus, odd_docs):
     assert mix_plan(odd_docs).count() == odd_docs.count()
 
 
+def test_mix_of_null_and_repeated_ids(odd_docs):
+    rows = mix_plan(odd_docs).collect()
+    mixed = mix_documents(odd_docs)
+    assert mixed.columns == odd_docs.columns
+    want, got = {}, {}
+    for r in rows:
+        want[r["doc_id"]] = want.get(r["doc_id"], 0) + r["taken"]
+    for r in mixed.collect():
+        got[r["doc_id"]] = got.get(r["doc_id"], 0) + len(WORD.findall(r["text"]))
+    assert want[None] > 0 and got == {i: n for i, n in want.items() if n}
+
+
 def test_shards_and_blocks(docs):
     rows = mix_plan(docs, settings=MixSettings(shard_docs=5, blocks=300)).collect()
     by = {}
