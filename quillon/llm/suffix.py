@@ -9,25 +9,35 @@ suffixes they are found with:
    the same offset.  Anchors lie some 14 bytes apart; each stands for the neighbouring
    strings that chose it.
 2. The hashes at the anchors are exchanged, and those met in one document only are left
-   out; a bit for each goes back.
+   out; a code for each goes back.  A collision lets a suffix through that has no partner,
+   and so costs work but changes nothing.
 3. For the others each batch of documents sorts the suffixes that start at the anchors, cut
-   where the last string of the anchor ends and followed by what stands before the anchor,
-   and sends them as front-coded runs to the range that holds their first GRAM bytes.
+   where the last string of the anchor ends and followed by what stands before the anchor.
+   It sends them, each distinct one once with its smallest document, as front-coded runs to
+   the range of their first GRAM bytes.  Ranges are even intervals of the hash of these
+   bytes, so any number of them needs no sample and no table of borders.  First bytes that
+   very many distinct suffixes share (a hot prefix) are split: their strings go one by one
+   to the range of all their bytes.
 4. A range merges its runs with a loser tree that compares stored common-prefix lengths,
-   and reads characters only from where two suffixes are not yet known to agree.
-   Suffixes that share GRAM bytes come out side by side; there the smallest document of
-   every string is found, and each occurrence learns which of its strings are repeats.
+   and reads characters only from where two suffixes are not yet known to agree.  Which
+   strings are equal follows from these lengths: two suffixes with the same ``length - q``
+   bytes from the anchor are neighbours in the merged order with no shorter common prefix
+   between them, and likewise for the ``q`` bytes before it, in the order of these.  No hash
+   takes part in this.
+5. To a batch goes back, for each suffix it sent, which of its strings an earlier document
+   of another batch has; what its own documents repeat, a batch knows itself.
 
 Defined cases: a null or empty text is 0 bytes with nothing to remove; texts shorter than
 ``length`` lose nothing; documents with equal ids never repeat each other, and a null id
-counts as larger than any; very long texts are processed in pieces that overlap, with the
-same result; an empty table gives an empty result.  Only the columns asked for are kept.
+counts as larger than any; ids must be integers (other types raise a TypeError); very long
+texts are processed in pieces that overlap, with the same result; an empty table gives an
+empty result.  Only the columns asked for are kept.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,8 +46,9 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from quillon.llm._store import stored
+from quillon.llm._store import give_back, stored
 
 _U = np.uint64
 
@@ -47,13 +58,14 @@ class SuffixSettings:
     length: int = 50
     gram: int = 24
     #: Bytes of text in a batch, the unit that forms a sorted run.
-    batch_bytes: int = 8_000_000
+    batch_bytes: int = 4_000_000
     #: Hashes that one task compares, and suffixes that one task merges, on average.
-    part_hashes: int = 3_000_000
-    range_suffixes: int = 250_000
-    #: Batches and suffixes of each that are sampled to place the ranges' borders.
-    sample_batches: int = 1000
-    sample_suffixes: int = 40
+    part_hashes: int = 1_500_000
+    range_suffixes: int = 120_000
+    #: First bytes with more distinct suffixes than this are split by all bytes of their strings.
+    hot_suffixes: int = 120_000
+    #: Suffixes of a batch that are laid out and sorted at once.
+    sort_suffixes: int = 150_000
     seed: int = 90001
 
 
@@ -96,7 +108,10 @@ class Batch:
 
 
 class Anchors:
-    """position, first and last string start, document and hash of each anchor of a batch."""
+    """position, first and last string start, document, hash and mark of each anchor of a batch.
+
+    The mark tells contexts with the same first bytes apart; it only serves to count them.
+    """
 
     PIECE = 1 << 18
 
@@ -105,6 +120,7 @@ class Anchors:
         r = np.random.default_rng(s.seed)
         self.table = r.integers(0, 1 << 63, 256, dtype=_U) * _U(2) + _U(1)
         base, self.power = int(r.integers(1 << 40, 1 << 62)) | 1, {}
+        self.base = _U(base)
         for n in range(1, s.gram + 1):
             self.power[n] = _U(pow(base, n, 1 << 64))
 
@@ -150,12 +166,22 @@ class Anchors:
             at = (least[start] & _U(0xFFFFFF)).astype(np.int64)
             cut = np.flatnonzero((at[1:] != at[:-1]) | (start[1:] != start[:-1] + 1)) + 1
             first, last = np.r_[0, cut], np.r_[cut, len(start)] - 1
-            out.append((at[first] + lo, start[first] + lo, start[last] + lo, doc[start[first]], h[at[first]]))
+            a, x, y = at[first], start[first], start[last]
+            mark = h[x] * _U(0x9E3779B97F4A7C15) ^ h[y + length - self.s.gram] * _U(0xC2B2AE3D27D4EB4F) ^ ((a - x) * 64 + y - a).astype(_U)
+            out.append((a + lo, x + lo, y + lo, doc[x], h[a], mark))
         if not out:
             z = np.empty(0, np.int64)
-            return z, z, z, z, np.empty(0, _U)
+            return z, z, z, z, np.empty(0, _U), np.empty(0, _U)
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
+    def whole(self, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """A hash of the ``length`` bytes from each position in ``at``."""
+        h = np.zeros(len(at), _U)
+        for i in range(self.s.length):
+            h = h * self.base + self.table[raw[at + i]]
+        h = (h ^ (h >> _U(29))) * _U(0xBF58476D1CE4E5B9)
+        return h ^ (h >> _U(32))
+
     def _pieces(self, b: Batch) -> list[tuple[int, int]]:
         return [(at, min(at + self.PIECE, len(b.raw))) for at in range(0, len(b.raw), self.PIECE)]
 
@@ -261,47 +287,55 @@ def merge_runs(runs: Sequence[tuple[list[bytes], list[int]]], width: int) -> tup
 # --- the smallest document of each string ----------------------------------------------
 
 
-def smallest_documents(contexts: np.ndarray, group: np.ndarray, smallest: np.ndarray, s: SuffixSettings) -> np.ndarray:
-    """For each context and number q of bytes before the anchor: the smallest document with that string.
-
-    ``contexts`` holds the bytes around the anchor, then the numbers of bytes before it and
-    from it on that are the context's.  Strings outside it get the largest integer.
-    """
+def backward_order(contexts: np.ndarray, group: np.ndarray, s: SuffixSettings) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the contexts by group and the bytes before the anchor, nearest first, and
+    how many of these each has in common with the one before (-1 at a group's first)."""
     reach = s.length - s.gram
-    n = len(contexts)
+    before = contexts[:, s.length : s.length + reach]
+    columns = np.zeros((len(contexts), -(-max(reach, 1) // 8) * 8), np.uint8)
+    columns[:, :reach] = before
+    words = columns.view(">u8").astype(_U)
+    order = np.lexsort((*(words[:, i] for i in range(words.shape[1] - 1, -1, -1)), group))
+    same = np.full(len(contexts), -1, np.int64)
+    if len(contexts) > 1:
+        a, b = before[order[:-1]], before[order[1:]]
+        unequal = a != b
+        common = np.where(unequal.any(axis=1), unequal.argmax(axis=1), reach) if reach else np.zeros(len(a), np.int64)
+        same[1:] = np.where(group[order[1:]] == group[order[:-1]], common, -1)
+    return order, same
+
+
+def smallest_documents(contexts: np.ndarray, same: np.ndarray, smallest: np.ndarray, s: SuffixSettings) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each number q of bytes before the anchor: (q, contexts with such a string, smallest document that has it).
+
+    ``contexts`` are distinct and in merged order: the bytes around the anchor, then the
+    numbers of bytes before it and from it on that are the context's; ``same`` has the common
+    prefix of each with the one before.  Strings at q are equal if no prefix shorter than
+    ``length - q`` parts their contexts in this order, and none shorter than q in the order
+    of the bytes before the anchor.
+    """
+    reach, n = s.length - s.gram, len(contexts)
+    group = np.cumsum(same < s.gram)
+    shared = np.bincount(group)[group] > 1
     before, after = contexts[:, -2].astype(np.int64) - 1, contexts[:, -1].astype(np.int64) - 1
-    q = np.arange(reach + 1)
-    inside = (q[None, :] <= before[:, None]) & (s.length - q[None, :] <= after[:, None])
-    out = np.where(inside, smallest[:, None], np.iinfo(np.int64).max)
-    size = np.bincount(group)
-    many = np.flatnonzero(size[group] > 1)
-    if len(many):
-        r = np.random.default_rng(s.seed + 1)
-        table, base = r.integers(1, 1 << 63, 256, dtype=_U), int(r.integers(1 << 40, 1 << 62)) | 1
-        power, parts = _U(pow(base, s.length, 1 << 64)), []
-        for x in range(0, len(many), 20_000):
-            some = many[x : x + 20_000]
-            # Bytes in text order: what stands before the anchor is stored nearest first.
-            line = np.concatenate([contexts[some, s.length : s.length + reach][:, ::-1], contexts[some, : s.length]], axis=1)
-            prefix = np.zeros((len(some), line.shape[1] + 1), _U)
-            for i in range(line.shape[1]):
-                prefix[:, i + 1] = prefix[:, i] * _U(base) + table[line[:, i]]
-            row, col = np.nonzero(inside[some])
-            value = prefix[row, line.shape[1] - col] - prefix[row, reach - col] * power
-            value = (value ^ (value >> _U(31))) * _U(0x94D049BB133111EB) + col.astype(_U) * _U(0x9E3779B97F4A7C15) + group[some[row]].astype(_U) * _U(0xD6E8FEB86659FD93)
-            parts.append((value, (row + x).astype(np.int32), col.astype(np.int8)))
-        value, row, col = (np.concatenate(p) for p in zip(*parts, strict=True))
-        del parts
-        order = np.argsort(value, kind="stable")
-        edge = np.flatnonzero(np.r_[True, value[order][1:] != value[order][:-1]])
-        least = np.minimum.reduceat(smallest[many[row[order]]], edge)
-        out[many[row[order]], col[order]] = np.repeat(least, np.diff(np.r_[edge, len(order)]))
-    return out
-
-
-def repeated_spans(runs: list[dict], s: SuffixSettings) -> list[tuple[int, bytes]]:
-    """(batch, packed rows of ordinal, start, end) for one range's runs."""
-    reach, width = s.length - s.gram, 2 * s.length - s.gram + 2
+    order, backward = backward_order(contexts, group, s)
+    for q in range(reach + 1):
+        at = np.flatnonzero(shared & (q <= before) & (s.length - q <= after))
+        if not len(at):
+            continue
+        behind = np.empty(n, np.int64)
+        behind[order] = np.cumsum(backward < q)
+        key = np.cumsum(same < s.length - q)[at] * (n + 1) + behind[at]
+        by = np.argsort(key)
+        edge = np.flatnonzero(np.r_[True, key[by[1:]] != key[by[:-1]]])
+        least = np.empty(len(at), np.int64)
+        least[by] = np.repeat(np.minimum.reduceat(smallest[at[by]], edge), np.diff(np.r_[edge, len(at)]))
+        yield q, at, least
+
+
+def earlier_strings(runs: list[dict], s: SuffixSettings) -> list[tuple[int, bytes]]:
+    """(batch, for each key of its run the strings that a smaller document has, a bit for each q)."""
+    width = 2 * s.length - s.gram + 2
     decoded = [front_decode(r["run"], width) for r in runs]
     run_of, same = merge_runs(decoded, width)
     run_of, same = np.array(run_of, np.int64), np.array(same, np.int64)
@@ -315,40 +349,34 @@ def repeated_spans(runs: list[dict], s: SuffixSettings) -> list[tuple[int, bytes
     flat = np.frombuffer(b"".join(k for keys, _ in decoded for k in keys), np.uint8).reshape(-1, width)
     contexts = flat[np.argsort(by_run, kind="stable")[new]]
     del flat, decoded
-    group = np.cumsum(same[new] < s.gram) - 1
     context_of = context[by_run]  # in order of run and key
-    base = np.r_[0, np.cumsum(np.bincount(run_of, minlength=len(runs)))]
-    largest = np.iinfo(np.int64).max
-    smallest = np.full(len(contexts), largest)
-    members = []
-    for i, r in enumerate(runs):
-        key, ordinal, position = np.frombuffer(unpacked(r["members"]), np.int32).reshape(3, -1)
-        ids = np.frombuffer(unpacked(r["ids"]), np.int64)[ordinal]
-        where = context_of[base[i] + key]
-        np.minimum.at(smallest, where, ids)
-        members.append((where, ordinal, position, ids))
-    best = smallest_documents(contexts, group, smallest, s)
-    out = []
-    for r, (where, ordinal, position, ids) in zip(runs, members, strict=True):
-        keep = np.flatnonzero(best[where].min(axis=1) < ids)
-        if not len(keep):
-            continue
-        where, ordinal, position, ids = where[keep], ordinal[keep], position[keep], ids[keep]
-        hit = np.pad(best[where] < ids[:, None], ((0, 0), (1, 1))).astype(np.int8)
-        step = np.diff(hit, axis=1)
-        row, first_q = np.nonzero(step == 1)
-        last_q = np.nonzero(step == -1)[1] - 1
-        # The string with q bytes before the anchor starts q bytes before it.
-        spans = np.stack([ordinal[row], position[row] - last_q, position[row] - first_q + s.length]).astype(np.int32)
-        out.append((r["batch"], packed(spans.tobytes())))
+    mine = np.concatenate([np.frombuffer(unpacked(r["least"]), np.int64) for r in runs])
+    smallest = np.full(len(contexts), np.iinfo(np.int64).max)
+    np.minimum.at(smallest, context_of, mine)
+    bits = np.zeros(len(mine), np.uint32)
+    best = np.empty(len(contexts), np.int64)
+    for q, at, least in smallest_documents(contexts, same[new], smallest, s):
+        best[:] = smallest
+        best[at] = least
+        bits |= (best[context_of] < mine).astype(np.uint32) << np.uint32(q)
+    # Strings at a q that no two contexts share are as old as their context.
+    bits[smallest[context_of] < mine] = np.uint32((1 << (s.length - s.gram + 1)) - 1)
+    out, edge = [], np.r_[0, np.cumsum(np.bincount(run_of, minlength=len(runs)))]
+    for r, x, y in zip(runs, edge, edge[1:], strict=False):
+        if bits[x:y].any():
+            out.append((r["batch"], packed(bits[x:y].tobytes())))
     return out
 
 
 # --- the operator ----------------------------------------------------------------------
 
 
-def _repeats(docs: DataFrame, id_col: str, text_col: str, carry: Sequence[str], s: SuffixSettings) -> DataFrame:
-    """The batches of documents, each with the spans that its ranges have found."""
+def _repeats(docs: DataFrame, id_col: str, text_col: str, carry: Sequence[str], s: SuffixSettings) -> tuple[DataFrame, Callable[[bytes, list | None, list | None], tuple[Batch, np.ndarray]]]:
+    """The batches of documents with what was found for them, and the function that tells from it which bytes go."""
+    if s.length - s.gram >= 32 or s.gram > s.length:
+        raise ValueError("gram must be at most length, and more than length - 32")
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"{id_col} must be an integer column")
     columns = [id_col, text_col, *carry]
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -374,86 +402,119 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str, carry: Sequence[str],
 
     frozen = docs.select(*columns).mapInArrow(gather, "size long, docs binary").select(F.monotonically_increasing_id().alias("batch"), "size", "docs")
     frozen = stored(frozen)
-    total = frozen.agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("batches")).first()
     spacing = (s.length - s.gram + 2) / 2
-    parts = max(1, round((total["bytes"] or 0) / spacing / s.part_hashes))
-    rate = min(1.0, s.sample_batches / max(1, total["batches"]))
+    parts = max(1, round((frozen.agg(F.sum("size")).first()[0] or 0) / spacing / s.part_hashes))
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = Anchors(s)
         for batch in batches:
             for key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 b = Batch(data)
-                at, _, _, doc, h = find.of(b)
-                unique, several = distinct_hashes(h, doc)
-                part = part_of(unique, parts)
-                edge = np.searchsorted(part, np.arange(parts + 1))
-                rows = [(p, unique[x:y].tobytes(), several[x:y].tobytes()) for p, (x, y) in enumerate(zip(edge, edge[1:], strict=False)) if y > x]
-                if len(at) and np.random.default_rng(key % (1 << 32)).random() < rate:
-                    some = np.random.default_rng(key % (1 << 32) + 1).choice(len(at), min(len(at), s.sample_suffixes), replace=False)
-                    rows.append((-1 - key % parts, b"".join(b.raw[a : a + s.gram].tobytes() for a in at[some]), b""))
+                _, _, _, doc, h, mark = find.of(b)
+                unique, several, kinds = distinct_hashes(h, doc, mark)
+                # The part is known from where a blob goes, so five bytes of a hash will do.
+                print_, held = unique.view(np.uint8).reshape(-1, 8)[:, :5], (np.minimum(kinds, 127) + 128 * several).astype(np.uint8)
+                part, edge = spans_of(part_of(unique, parts))
+                rows = [(p, print_[x:y].tobytes(), held[x:y].tobytes()) for p, x, y in zip(part.tolist(), edge, edge[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([key] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())],
-                    names=["batch", "part", "hashes", "several"],
+                    names=["batch", "part", "hashes", "held"],
                 )
+                give_back()
 
     def recur(table: pa.Table) -> pa.Table:
         keys, blobs = table["batch"].to_pylist(), table["hashes"].to_pylist()
+        edge = np.cumsum([0, *(len(x) // 5 for x in blobs)])
+        wide = np.zeros((edge[-1], 8), np.uint8)
+        wide[:, :5] = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, 5)
+        every = wide.view("<u8").ravel()
+        held = np.frombuffer(b"".join(table["held"].to_pylist()), np.uint8)
+        del blobs, wide
+        order = np.argsort(every)
+        first = np.flatnonzero(np.r_[True, every[order[1:]] != every[order[:-1]]])
+        ordered = held[order]
+        size = np.diff(np.r_[first, len(order)])
+        kinds = np.add.reduceat(ordered & 127, first, dtype=np.int64)
+        again = (size > 1) | (np.maximum.reduceat(ordered, first) >= 128)
+        code = np.empty(len(order), np.uint8)
+        code[order] = np.repeat(np.where(again, np.where(kinds > s.hot_suffixes, 2, 1), 0).astype(np.uint8), size)
+        reach = s.length - s.gram + 1
+        n = int((held & 127)[code > 0].sum() + (reach - 1) * int((held & 127)[code == 2].sum()))
+        codes = [packed(code[x:y].tobytes()) for x, y in zip(edge, edge[1:], strict=False)]
         part = table["part"][0].as_py()
-        if part < 0:  # sampled suffixes pass through
-            return pa.table({"batch": pa.array(keys, pa.int64()), "part": pa.array([part] * len(keys), pa.int64()), "n": pa.array([0] * len(keys), pa.int64()), "bits": pa.array(blobs, pa.binary())})
-        every = np.frombuffer(b"".join(blobs), _U)
-        again = np.frombuffer(b"".join(table["several"].to_pylist()), np.bool_).copy()
-        order = np.argsort(every, kind="stable")
-        equal = every[order[1:]] == every[order[:-1]]
-        again[order[1:][equal]] = True
-        again[order[:-1][equal]] = True
-        edge = np.cumsum([0, *(len(x) // 8 for x in blobs)])
-        bits = [again[x:y] for x, y in zip(edge, edge[1:], strict=False)]
-        return pa.table({"batch": pa.array(keys, pa.int64()), "part": pa.array([part] * len(keys), pa.int64()), "n": pa.array([int(x.sum()) for x in bits], pa.int64()), "bits": pa.array([np.packbits(x).tobytes() for x in bits], pa.binary())})
-
-    met = frozen.select("batch", "docs").mapInArrow(hashes, "batch long, part long, hashes binary, several binary")
-    bits = stored(met.groupBy("part").applyInArrow(recur, "batch long, part long, n long, bits binary"))
-    repeated = bits.agg(F.sum("n")).first()[0] or 0
-    ranges = max(1, round(repeated / s.range_suffixes))
-    sample = bits.where("part < 0").orderBy(F.xxhash64("batch")).limit(s.sample_batches).select("bits").collect()  # bounded by sample_batches * sample_suffixes
-    grams = np.sort(np.frombuffer(b"".join(bytes(r["bits"]) for r in sample), f"S{s.gram}"))
-    borders = grams[[len(grams) * i // ranges for i in range(1, ranges)]] if len(grams) else grams
+        give_back()
+        return pa.table({"batch": pa.array(keys, pa.int64()), "part": pa.array([part] * len(keys), pa.int64()), "n": pa.array([n] + [0] * (len(keys) - 1), pa.int64()), "codes": pa.array(codes, pa.binary())})
+
+    met = frozen.select("batch", "docs").mapInArrow(hashes, "batch long, part long, hashes binary, held binary")
+    codes = stored(met.groupBy("part").applyInArrow(recur, "batch long, part long, n long, codes binary"))
+    ranges = max(1, round((codes.agg(F.sum("n")).first()[0] or 0) / s.range_suffixes))
 
     def sort_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = Anchors(s)
         for batch in batches:
             for key, data, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                b = Batch(data)
-                rows = list(batch_runs(b, find.of(b), {x["part"]: x["bits"] for x in found or ()}, parts, borders, s))
-                ids = packed(b.ids.tobytes()) if rows else b""
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in rows], pa.int64()), pa.array([key] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary()), pa.array([ids] * len(rows), pa.binary())],
-                    names=["range", "batch", "run", "members", "ids"],
-                )
+                for part in batch_runs(Batch(data), find, found, parts, ranges, s):
+                    rows = [(r, front_code(part.keys[x:y]), packed(part.least[x:y].tobytes())) for r, x, y in part.runs()]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([r[0] for r in rows], pa.int64()), pa.array([key] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())],
+                        names=["range", "batch", "run", "least"],
+                    )
+                give_back()
 
     def merge(table: pa.Table) -> pa.Table:
-        rows = repeated_spans(table.sort_by("batch").to_pylist(), s)
-        return pa.table({"batch": pa.array([r[0] for r in rows], pa.int64()), "spans": pa.array([r[1] for r in rows], pa.binary())})
-
-    answers = bits.where("part >= 0").groupBy("batch").agg(F.collect_list(F.struct("part", "bits")).alias("found"))
-    runs = frozen.select("batch", "docs").join(answers, "batch").mapInArrow(sort_runs, "range long, batch long, run binary, members binary, ids binary")
-    spans = runs.groupBy("range").applyInArrow(merge, "batch long, spans binary")
-    return frozen.select("batch", "docs").join(spans.groupBy("batch").agg(F.collect_list("spans").alias("spans")), "batch", "left").select("docs", "spans")
-
-
-def distinct_hashes(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The batch's distinct hashes, ascending, and whether more than one of its documents has each."""
+        rows = earlier_strings(table.sort_by("batch").to_pylist(), s)
+        at = table["range"][0].as_py()
+        give_back()
+        return pa.table({"batch": pa.array([r[0] for r in rows], pa.int64()), "range": pa.array([at] * len(rows), pa.int64()), "bits": pa.array([r[1] for r in rows], pa.binary())})
+
+    def removed(data: bytes, found: list | None, earlier: list | None) -> tuple[Batch, np.ndarray]:
+        """The batch, and which of its bytes go."""
+        b, bits_of = Batch(data), {x["range"]: x["bits"] for x in earlier or ()}
+        hit = np.zeros(len(b.raw) + 1, np.int32)
+        for part in batch_runs(b, Anchors(s), found, parts, ranges, s):
+            bits = np.zeros(len(part.keys), np.uint32)
+            for r, x, y in part.runs():
+                if r in bits_of:
+                    bits[x:y] = np.frombuffer(unpacked(bits_of[r]), np.uint32)
+            # A document after the key's smallest in this batch repeats all its strings.
+            mine = np.where(b.ids[part.doc] > part.least[part.key], ~np.uint32(0), bits[part.key])
+            for q in range(s.length - s.gram + 1):
+                some = part.at[(mine >> np.uint32(q) & np.uint32(1) > 0) & (q <= part.before) & (s.length - q <= part.after)]
+                hit[some - q] = 1
+        hit = np.cumsum(hit[:-1], out=hit[:-1])
+        gone = hit.copy()
+        gone[s.length :] -= hit[: -s.length] if len(hit) > s.length else 0
+        return b, gone > 0
+
+    answers = stored(codes.groupBy("batch").agg(F.collect_list(F.struct("part", "codes")).alias("found")))
+    known = frozen.select("batch", "docs").join(answers, "batch", "left")
+    runs = known.mapInArrow(sort_runs, "range long, batch long, run binary, least binary")
+    earlier = runs.groupBy("range").applyInArrow(merge, "batch long, range long, bits binary").groupBy("batch").agg(F.collect_list(F.struct("range", "bits")).alias("earlier"))
+    return known.join(earlier, "batch", "left").select("docs", "found", "earlier"), removed
+
+
+def distinct_hashes(h: np.ndarray, doc: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The batch's distinct hashes, ascending, whether more than one of its documents has each, and
+    how many distinct marks there are with it."""
+    if not len(h):
+        return h, np.empty(0, np.bool_), np.empty(0, np.int64)
     order = np.argsort(h, kind="stable")
-    h, doc = h[order], doc[order]
-    edge = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.empty(0, np.int64)
-    if not len(edge):
-        return h, np.empty(0, np.bool_)
-    return h[edge], np.minimum.reduceat(doc, edge) != np.maximum.reduceat(doc, edge)
+    h, doc, mark = h[order], doc[order], mark[order]
+    edge = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+    size = np.diff(np.r_[edge, len(h)])
+    kinds = np.ones(len(edge), np.int64)
+    many = np.flatnonzero(np.repeat(size > 1, size))
+    if len(many):
+        group = np.repeat(np.arange(len(edge)), size)[many]
+        by = np.lexsort((mark[many], group))
+        group, mark = group[by], mark[many[by]]
+        new = np.r_[True, (group[1:] != group[:-1]) | (mark[1:] != mark[:-1])]
+        kinds[size > 1] = np.bincount(group[new], minlength=len(edge))[size > 1]
+    return h[edge], np.minimum.reduceat(doc, edge) != np.maximum.reduceat(doc, edge), kinds
 
 
 def part_of(h: np.ndarray, parts: int) -> np.ndarray:
-    """The part of each hash; ascending with it.
+    """The part of each anchor's hash; ascending with it.
 
     An anchor's hash is the least of some 27, so hashes crowd towards 0: a share
     1 - (1 - x) ** 27 of them lies below x, which makes parts of equal sizes.
@@ -462,49 +523,80 @@ def part_of(h: np.ndarray, parts: int) -> np.ndarray:
     return np.minimum(((1 - (1 - x) ** 27) * parts).astype(np.int64), parts - 1)
 
 
-def batch_runs(b: Batch, anchors: tuple[np.ndarray, ...], bits: dict[int, bytes], parts: int, borders: np.ndarray, s: SuffixSettings) -> Iterator[tuple[int, bytes, bytes]]:
-    """(range, front-coded run, members) of the batch's repeated suffixes."""
-    at, first, last, doc, h = anchors
+def spans_of(sorted_values: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """The distinct values, and where each begins, with the end of all."""
+    if not len(sorted_values):
+        return sorted_values, [0]
+    edge = np.flatnonzero(np.r_[True, sorted_values[1:] != sorted_values[:-1]])
+    return sorted_values[edge], [*edge.tolist(), len(sorted_values)]
+
+
+@dataclass
+class Part:
+    """Suffixes of some ranges of a batch: members with their positions, and the distinct keys in order of range."""
+
+    keys: np.ndarray
+    where: np.ndarray  # range of each key
+    least: np.ndarray  # smallest document of each key
+    key: np.ndarray  # of each member
+    at: np.ndarray
+    before: np.ndarray
+    after: np.ndarray
+    doc: np.ndarray
+
+    def runs(self) -> Iterator[tuple[int, int, int]]:
+        where, edge = spans_of(self.where)
+        yield from zip(where.tolist(), edge, edge[1:], strict=False)
+
+
+def batch_runs(b: Batch, find: Anchors, found: list | None, parts: int, ranges: int, s: SuffixSettings) -> Iterator[Part]:
+    """The batch's repeated suffixes, some ranges at a time."""
+    at, first, last, doc, h, _ = find.of(b)
     if not len(at):
         return
-    unique, _ = distinct_hashes(h, doc)
-    edge = np.searchsorted(part_of(unique, parts), np.arange(parts + 1))
-    again = np.concatenate([np.unpackbits(np.frombuffer(bits[p], np.uint8), count=int(y - x)) for p, (x, y) in enumerate(zip(edge, edge[1:], strict=False)) if y > x]).astype(bool)
-    keep = np.flatnonzero(again[np.searchsorted(unique, h)])
-    if not len(keep):
+    unique = np.unique(h)
+    by_part = {x["part"]: x["codes"] for x in found or ()}
+    code = np.concatenate([np.frombuffer(unpacked(by_part[p]), np.uint8) for p in spans_of(part_of(unique, parts))[0].tolist()])
+    code = code[np.searchsorted(unique, h)]
+    keep, hot = np.flatnonzero(code == 1), np.flatnonzero(code == 2)
+    where = part_of(h[keep], ranges)
+    at, first, last, doc, hot_rows = at[keep], first[keep], last[keep], doc[keep], (at[hot], first[hot], last[hot], doc[hot])
+    if len(hot):  # string by string
+        n = hot_rows[2] - hot_rows[1] + 1
+        each = np.repeat(np.arange(len(hot)), n)
+        start = hot_rows[1][each] + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
+        spread = find.whole(b.raw, start).astype(np.float64) / 2.0**64 * ranges
+        where = np.r_[where, np.minimum(spread.astype(np.int64), ranges - 1)]
+        at, first, last, doc = np.r_[at, hot_rows[0][each]], np.r_[first, start], np.r_[last, start], np.r_[doc, hot_rows[3][each]]
+    if not len(at):
         return
-    at, first, last, doc = at[keep], first[keep], last[keep], doc[keep]
+    by = np.argsort(where, kind="stable")
+    values, edge = spans_of(where[by])
+    x = 0
+    while x < len(values):
+        y = max(x + 1, int(np.searchsorted(edge, edge[x] + s.sort_suffixes, side="right")) - 1)
+        some = by[edge[x] : edge[y]]
+        yield sorted_part(b, where[some], at[some], first[some], last[some], doc[some], s)
+        x = y
+
+
+def sorted_part(b: Batch, where: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndarray, doc: np.ndarray, s: SuffixSettings) -> Part:
     reach, width = s.length - s.gram, 2 * s.length - s.gram + 2
     before, after = at - first, last + s.length - at
     keys = np.zeros((len(at), width), np.uint8)
-    raw = b.raw
-    step = np.arange(s.length)
-    for x in range(0, len(at), 50_000):
-        y = slice(x, x + 50_000)
+    raw, step = b.raw, np.arange(s.length)
+    for x in range(0, len(at), 20_000):
+        y = slice(x, x + 20_000)
         keys[y, : s.length] = np.where(step < after[y, None], raw[np.minimum(at[y, None] + step, len(raw) - 1)], 0)
         keys[y, s.length : s.length + reach] = np.where(step[:reach] < before[y, None], raw[np.maximum(at[y, None] - 1 - step[:reach], 0)], 0)
     keys[:, -2], keys[:, -1] = before + 1, after + 1
     order = np.argsort(keys.view(f"S{width}").ravel(), kind="stable")
-    keys = keys[order]
-    new = np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)]
-    distinct, key = keys[new], np.cumsum(new) - 1
-    where = np.searchsorted(borders, np.ascontiguousarray(distinct[:, : s.gram]).view(f"S{s.gram}").ravel(), side="right") if len(borders) else np.zeros(len(distinct), np.int64)
-    ordinal, position = doc[order], (at - b.starts[doc])[order]
-    cut = np.flatnonzero(np.r_[True, where[1:] != where[:-1]])
-    for x, y in zip(cut, np.r_[cut[1:], len(distinct)], strict=True):
-        p, q = np.searchsorted(key, [x, y])
-        members = np.stack([key[p:q] - x, ordinal[p:q], position[p:q]]).astype(np.int32)
-        yield int(where[x]), front_code(distinct[x:y]), packed(members.tobytes())
-
-
-def _removed(b: Batch, spans: list[bytes] | None) -> np.ndarray:
-    change = np.zeros(len(b.raw) + 1, np.int32)
-    for blob in spans or ():
-        ordinal, start, end = np.frombuffer(unpacked(blob), np.int32).reshape(3, -1)
-        offset = b.starts[ordinal]
-        np.add.at(change, offset + start, 1)
-        np.add.at(change, offset + end, -1)
-    return np.cumsum(change[:-1], out=change[:-1]) > 0
+    order = order[np.argsort(where[order], kind="stable")]
+    keys, where = keys[order], where[order]
+    new = np.r_[True, (keys[1:] != keys[:-1]).any(axis=1) | (where[1:] != where[:-1])]
+    edge = np.flatnonzero(new)
+    least = np.minimum.reduceat(b.ids[doc[order]], edge)
+    return Part(keys[new], where[new], least, np.cumsum(new) - 1, at[order], before[order], after[order], doc[order])
 
 
 def dedup_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: SuffixSettings = SuffixSettings()) -> DataFrame:
@@ -512,9 +604,8 @@ def dedup_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                b = Batch(data)
-                gone, rows = _removed(b, spans), []
+            for data, found, earlier in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                (b, gone), rows = removed(data, found, earlier), []
                 for x, y in zip(b.starts.tolist(), b.ends.tolist(), strict=True):
                     g = gone[x:y]
                     n = int(g.sum())
@@ -526,7 +617,8 @@ def dedup_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return _repeats(docs, id_col, text_col, (), settings).mapInArrow(digest, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    batches, removed = _repeats(docs, id_col, text_col, (), settings)
+    return batches.mapInArrow(digest, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = None, settings: SuffixSettings = SuffixSettings()) -> DataFrame:
@@ -539,9 +631,8 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                b = Batch(data)
-                gone = _removed(b, spans)
+            for data, found, earlier in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                b, gone = removed(data, found, earlier)
                 old = b.table.column(1).to_pylist()
                 new = [t if not gone[x:y].any() else b.raw[x:y][~gone[x:y]].tobytes().decode("utf-8", "ignore") for t, x, y in zip(old, b.starts.tolist(), b.ends.tolist(), strict=True)]
                 columns = {name: b.table.column(i).combine_chunks() for i, name in enumerate(b.table.column_names)}
@@ -551,4 +642,5 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield pa.RecordBatch.from_arrays([columns[c] for c in docs_columns], names=docs_columns)
 
     docs_columns = docs.columns
-    return _repeats(docs, id_col, text_col, carry, settings).mapInArrow(cut, docs.schema)
+    batches, removed = _repeats(docs, id_col, text_col, carry, settings)
+    return batches.mapInArrow(cut, docs.schema)

@@ -81,12 +81,65 @@ def brute_removal(corpus, length):
     return out
 
 
-@pytest.mark.parametrize("settings", [SuffixSettings(), SuffixSettings(batch_bytes=3000, part_hashes=300, range_suffixes=60), SuffixSettings(length=30, gram=9, batch_bytes=9000, range_suffixes=100)])
+@pytest.mark.parametrize("settings", [SuffixSettings(), SuffixSettings(batch_bytes=3000, part_hashes=300, range_suffixes=60), SuffixSettings(length=30, gram=9, batch_bytes=9000, range_suffixes=100),
+    SuffixSettings(batch_bytes=3000, range_suffixes=60, hot_suffixes=0, sort_suffixes=50), SuffixSettings(length=30, gram=9, batch_bytes=2000, range_suffixes=30, hot_suffixes=2)])
 def test_repeated_passages(docs, corpus, settings):
     got = {r["doc_id"]: tuple(r)[1:] for r in dedup_digest(docs, settings=settings).collect()}
     assert got == brute_removal(corpus, settings.length)
 
 
+def test_one_prefix_in_every_document(spark):
+    """24 bytes that all documents have, each time in other surroundings, and some passages about them."""
+    import random
+
+    r = random.Random(5)
+    prefix, rows = "the same twenty-four byt", []
+    for i in range(300):
+        around = ["".join(r.choices("abcdefgh ", k=r.randrange(30, 60))) for _ in range(4)]
+        if i % 7 == 0 and rows:
+            around[1], around[2] = rows[i // 2][1][-60:-10], around[2][:9] + rows[i // 3][1][:70]
+        rows.append((i, prefix.join(around)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for hot in (20, 10**9):
+        s = SuffixSettings(batch_bytes=1500, range_suffixes=100, hot_suffixes=hot)
+        assert {r["doc_id"]: tuple(r)[1:] for r in dedup_digest(docs, settings=s).collect()} == brute_removal(rows, 50)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_equal_strings_follow_from_the_order(seed):
+    """Against all pairs of contexts, over two letters, so that nearly all prefixes are shared."""
+    import random
+
+    import numpy as np
+
+    from quillon.llm.suffix import common_prefix, smallest_documents
+
+    r, s = random.Random(seed), SuffixSettings(length=8, gram=3)
+    made = set()
+    for _ in range(120):
+        before, after = r.randrange(0, 6), r.randrange(3, 9)
+        if before + after >= 8:
+            made.add(bytes(r.choices(b"ab", k=after)).ljust(8, b"\0") + bytes(r.choices(b"ab", k=before)).ljust(5, b"\0") + bytes([before + 1, after + 1]))
+    keys = sorted(made)
+    ids = np.array([r.randrange(1000) for _ in keys])
+    same = np.array([0] + [common_prefix(a, b, 0) for a, b in zip(keys, keys[1:])])
+    found = {(q, i): n for q, at, least in smallest_documents(np.frombuffer(b"".join(keys), np.uint8).reshape(-1, 15), same, ids, s) for i, n in zip(at.tolist(), least.tolist())}
+    strings = {}
+    for i, k in enumerate(keys):
+        for q in range(6):
+            if q <= k[-2] - 1 and 8 - q <= k[-1] - 1:
+                strings.setdefault((q, k[: 8 - q], k[8 : 8 + q]), []).append(i)
+    assert any(len(v) > 1 for v in strings.values())
+    for (q, _, _), held in strings.items():
+        for i in held:
+            assert found.get((q, i), ids[i]) == min(ids[j] for j in held)
+
+
+def test_ids_that_are_no_integers(spark):
+    with pytest.raises(TypeError):
+        dedup_digest(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
 def test_passages_cut_from_texts(odd_docs, docs, corpus):
     out = dedup_passages(odd_docs, chars_col="n_chars")
     assert out.columns == odd_docs.columns and out.count() == odd_docs.count()
@@ -107,7 +160,7 @@ def test_pieces_of_long_texts(docs, corpus, monkeypatch):
 
     def strings(piece):
         monkeypatch.setattr(Anchors, "PIECE", piece)
-        at, first, last, doc, h = Anchors(SuffixSettings()).of(Batch(data))
+        at, first, last, doc, h, _ = Anchors(SuffixSettings()).of(Batch(data))
         return {(s, a, g) for a, f, e, g in zip(at, first, last, h) for s in range(f, e + 1)}
 
     assert strings(1 << 18) == strings(777)
