@@ -3,12 +3,15 @@
 The global histogram of lengths goes through a dynamic program that chooses the bucket
 boundaries with the least padding.  Inside a bucket, documents in seeded order fill
 batches of ``token_budget // boundary`` slots, so that a padded batch keeps the budget.
+A document longer than the budget is a batch of its own whatever the boundaries, so it
+needs no padding and the program is exact over at most ``token_budget + 1`` lengths.
 
-Defined cases: a null or empty text has length 0 and takes a slot like any other; a
-document longer than the budget is a batch of its own and is not cut; equal lengths and
-repeated rows are packed one by one, ties in the seeded order being rows that are alike
-in id and length; an empty table gives an empty result; of other columns only those named
-in ``carry`` are kept, and these must not be called like the result's own columns.
+Defined cases: a null or empty text has length 0 and takes a slot like any other;
+documents longer than the budget are not cut and stand in one more bucket, each with its
+own length as ``bucket_length``; equal lengths and repeated rows are packed one by one,
+ties in the seeded order being rows that are alike in id and length; an empty table gives
+an empty result; of other columns only those named in ``carry`` are kept, which must not
+be called like the result's own columns (a ValueError) but may be called anything else.
 """
 
 from __future__ import annotations
@@ -16,22 +19,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.llm._store import stored
 from quillon.llm.mixing import word_count
 
-#: Lengths keep so many significant bits (rounded up) in the histogram, which bounds its rows.
-HISTOGRAM_BITS = 12
-
-
-def coarse(n: Column, bits: int = HISTOGRAM_BITS) -> Column:
-    """``n`` rounded up to ``bits`` significant bits; exact below ``2 ** bits``."""
-    step = F.when(n < (1 << bits), F.lit(1)).otherwise(F.pow(F.lit(2.0), F.floor(F.log2(n.cast("double"))) - (bits - 1)))
-    return (F.ceil(n / step) * step).cast("long")
-
-
 def optimal_boundaries(lengths: Sequence[int], counts: Sequence[int], buckets: int) -> list[int]:
     """Upper boundaries of at most ``buckets`` buckets over the histogram, with the least padding.
 
@@ -72,40 +65,50 @@ def optimal_boundaries(lengths: Sequence[int], counts: Sequence[int], buckets: i
     return sorted(set(out))
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = (), token_budget: int = 16_384, buckets: int = 16, chunk_docs: int = 2000, max_chunks: int = 10_000, seed: int = 911) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = (), token_budget: int = 16_384, buckets: int = 16, chunk_docs: int = 2000, max_chunks: int = 1_000_000, seed: int = 911) -> DataFrame:
     """``id, n_tokens, bucket, bucket_length, batch_id, slot`` and the carried columns, for each row.
 
-    To the driver goes the histogram, whose rows are bounded by HISTOGRAM_BITS.  A bucket is
-    dealt into chunks by a seeded hash, so its rows are numbered by many tasks at once.
+    To the driver goes the histogram, of at most ``token_budget + 2`` rows.  A bucket is
+    dealt into chunks by a seeded hash, so its rows are numbered by many tasks at once; the
+    chunks' sizes, not their rows, are summed up in order.  Carried texts are read once more
+    for the result and shuffled once.
     """
+    if clash := set(carry) & {id_col, "n_tokens", "bucket", "bucket_length", "batch_id", "slot"}:
+        raise ValueError(f"carried columns are called like the result's own: {sorted(clash)}")
     spark = docs.sparkSession
-    if carry:
-        # Texts are carried along, so nothing is stored; explode keeps the optimizer from
-        # copying the count of words into every expression over it.
-        sized = docs.select(F.col(id_col), *carry, F.explode(F.array(word_count(F.col(text_col)))).alias("n_tokens"))
-    else:
-        sized = stored(docs.select(F.col(id_col), word_count(F.col(text_col)).alias("n_tokens")))
-    sized = sized.withColumn("length", coarse(F.col("n_tokens")))
-    histogram = sized.groupBy("length").count().collect()
-    bounds = optimal_boundaries([r["length"] for r in histogram], [r["count"] for r in histogram], buckets)
-    held = [sum(r["count"] for r in histogram if lo < max(r["length"], 1) <= hi) for lo, hi in zip([0, *bounds], bounds)]
-    slots = [max(1, token_budget // b) for b in bounds]
+    sized = stored(docs.select(F.col(id_col).alias("__pack_id"), word_count(F.col(text_col)).alias("__pack_n")))
+    over = F.col("__pack_n") > token_budget
+    histogram = sized.groupBy(F.when(~over, F.col("__pack_n")).alias("length")).count().collect()
+    lengths, counts = [r["length"] for r in histogram if r["length"] is not None], [r["count"] for r in histogram if r["length"] is not None]
+    bounds = optimal_boundaries(lengths, counts, buckets)
+    held = [sum(c for n, c in zip(lengths, counts, strict=True) if lo < max(n, 1) <= hi) for lo, hi in zip([0, *bounds], bounds)]
+    slots = [token_budget // b for b in bounds]
+    held, slots = [*held, sum(r["count"] for r in histogram if r["length"] is None)], [*slots, 1]
     first = np.cumsum([0, *(-(-n // c) for n, c in zip(held, slots, strict=True))]).tolist()
     chunks = [min(max_chunks, max(1, -(-n // chunk_docs))) for n in held]
-    rows = [(i, b, slots[i], first[i], chunks[i]) for i, b in enumerate(bounds)]
-    table = spark.createDataFrame(rows, "bucket int, bucket_length long, slots int, first_batch long, chunks int")
+    rows = [(i, b, slots[i], first[i], chunks[i]) for i, b in enumerate([*bounds, None])]
+    table = spark.createDataFrame(rows, "__pack_bucket int, __pack_bound long, __pack_slots int, __pack_first long, __pack_chunks int")
     bucket = F.lit(0)
     for b in bounds[:-1]:
-        bucket = bucket + (F.col("length") > b).cast("int")
-    dealt = sized.withColumn("bucket", bucket).join(F.broadcast(table), "bucket")  # at most ``buckets`` rows
-    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64(F.lit(seed), id_col), "chunks"))
-    sizes = dealt.groupBy("bucket", "chunk").agg(F.count(F.lit(1)).alias("held"))
-    before = sizes.withColumn("before", F.sum("held").over(Window.partitionBy("bucket").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)))
-    order = Window.partitionBy("bucket", "chunk").orderBy(F.xxhash64(F.lit(seed + 1), id_col), id_col, "n_tokens")
-    ranked = dealt.withColumn("rank", F.row_number().over(order) - 1).join(before.select("bucket", "chunk", F.coalesce("before", F.lit(0)).alias("before")), ["bucket", "chunk"])
-    place = F.col("rank") + F.col("before")
+        bucket = bucket + (F.col("__pack_n") > b).cast("int")
+    bucket = F.when(over, F.lit(len(bounds))).otherwise(bucket).cast("int")
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        placed = rows.withColumn("__pack_bucket", bucket).join(F.broadcast(table), "__pack_bucket")  # at most ``buckets + 1`` rows
+        return placed.withColumn("__pack_chunk", F.pmod(F.xxhash64(F.lit(seed), "__pack_id"), "__pack_chunks"))
+
+    key = ["__pack_bucket", "__pack_chunk"]
+    earlier = Window.partitionBy("__pack_bucket").orderBy("__pack_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    before = dealt(sized).groupBy(*key).count().select(*key, F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("__pack_before"))
+    if carry:
+        # explode keeps the optimizer from copying the count of words into every expression over it.
+        sized = docs.select(F.col(id_col).alias("__pack_id"), *carry, F.explode(F.array(word_count(F.col(text_col)))).alias("__pack_n"))
+    order = Window.partitionBy(*key).orderBy(F.xxhash64(F.lit(seed + 1), "__pack_id"), "__pack_id", "__pack_n")
+    ranked = dealt(sized).withColumn("__pack_rank", F.row_number().over(order) - 1).join(before, key)
+    place = F.col("__pack_rank") + F.col("__pack_before")
     return ranked.select(
-        id_col, *carry, "n_tokens", "bucket", "bucket_length",
-        (F.col("first_batch") + F.floor(place / F.col("slots"))).cast("long").alias("batch_id"),
-        F.pmod(place, F.col("slots")).cast("int").alias("slot"),
+        F.col("__pack_id").alias(id_col), *carry, F.col("__pack_n").alias("n_tokens"), F.col("__pack_bucket").alias("bucket"),
+        F.coalesce("__pack_bound", "__pack_n").alias("bucket_length"),
+        (F.col("__pack_first") + F.floor(place / F.col("__pack_slots"))).cast("long").alias("batch_id"),
+        F.pmod(place, F.col("__pack_slots")).cast("int").alias("slot"),
     )

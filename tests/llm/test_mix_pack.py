@@ -7,6 +7,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillon.llm.mixing import MixSettings, _quotas, mix_documents, mix_plan, sainte_lague, targets, word_range
 from quillon.llm.packing import optimal_boundaries, pack
@@ -151,9 +152,35 @@ def test_pack(docs, corpus, odd_docs):
     for rs in batches.values():
         length = {r["bucket_length"] for r in rs}
         assert len(length) == 1 and sorted(r["slot"] for r in rs) == list(range(len(rs)))
-        assert len(rs) * max(length) <= budget or len(rs) == 1
+        assert len(rs) * max(length) <= budget or len(rs) == 1 and length == {rs[0]["n_tokens"]}
     assert sorted(batches) == list(range(len(batches)))
     for bucket in {r["bucket"] for r in rows}:  # all but a bucket's last batch are full
         sizes = [len(rs) for _, rs in sorted(batches.items()) if rs[0]["bucket"] == bucket]
         assert len(set(sizes[:-1])) <= 1 and (len(sizes) == 1 or sizes[-1] <= sizes[0])
     assert pack(docs.limit(0)).count() == 0 and pack(odd_docs).count() == odd_docs.count()
+
+
+def test_pack_of_rows_with_clashing_names(odd_docs, corpus):
+    """Columns called like helpers come through as they were; those called like results are refused."""
+    docs = odd_docs.withColumn("length", F.col("doc_id") * 10).withColumn("rank", F.lit("r")).withColumn("chunk", F.lit("c")).withColumn("before", F.lit("b"))
+    rows = pack(docs, token_budget=300, carry=["text", "length", "rank", "chunk", "before"]).collect()
+    assert len(rows) == docs.count() and {(r["rank"], r["chunk"], r["before"]) for r in rows} == {("r", "c", "b")}
+    assert all(r["length"] == (None if r["doc_id"] is None else r["doc_id"] * 10) and r["n_tokens"] == len(WORD.findall(r["text"] or "")) for r in rows)
+    assert len({(r["batch_id"], r["slot"]) for r in rows}) == len(rows)
+    assert all(r["bucket_length"] == r["n_tokens"] for r in rows if r["n_tokens"] > 300)
+    with pytest.raises(ValueError, match="slot"):
+        pack(docs.withColumn("slot", F.lit(1)), carry=["slot"])
+
+
+def test_pack_is_optimal(docs, corpus):
+    """No other boundaries up to the budget, by brute force, need less padding."""
+    budget = 130
+    rows = pack(docs, token_budget=budget, buckets=3).collect()
+    n = [x for x in (len(WORD.findall(t or "")) for _, t, *_ in corpus) if x <= budget]
+    lengths = sorted({max(x, 1) for x in n})
+
+    def padding(bounds):
+        return sum(min(b for b in bounds if b >= x) - x for x in n)
+
+    best = min(padding([*x, lengths[-1]]) for m in range(3) for x in itertools.combinations(lengths[:-1], m))
+    assert sum(r["bucket_length"] - r["n_tokens"] for r in rows) == best
