@@ -2,9 +2,10 @@
 
 Two zstandard dictionaries are built, from good and from bad labelled text.  A text is
 compressed with each, block by block so that the dictionary and not the text's own past
-does the work.  The normalised difference of the sizes, calibrated by logistic regression
-on other labelled documents, is its score; the calibration also knows the rate of the
-smaller size, as both dictionaries fit repetitive text equally well.
+does the work.  The difference of the compressed sizes, normalised by the text's own
+size, is calibrated by logistic regression on other labelled documents and so becomes the
+score; nothing else enters it.  Text that both dictionaries fit equally well, repetitive
+text above all, has a difference near 0, which good text does not have.
 
 Fitting uses a bounded sample: ``fit_docs`` labelled documents of each class for the
 dictionaries and as many again for the calibration, taken by a seeded hash, and of a
@@ -31,19 +32,21 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm._store import stored
+
 #: Fixed by the contract.
 FOLDS, THRESHOLD = 5, 0.3
-BLOCK = 1024
-#: Bytes added to the sizes before they are compared, so that a short text's weigh less.
-DAMP = 400
+BLOCK = 4096
+#: Bytes added to a text's size, so that the difference of a very short one weighs less.
+DAMP = 25
 
 
 @dataclass(frozen=True)
 class FitSettings:
     fit_docs: int = 2000
-    fit_blocks: int = 4
-    dictionary_bytes: int = 300_000
-    level: int = 3
+    fit_blocks: int = 2
+    dictionary_bytes: int = 800_000
+    level: int = 12
     seed: int = 40503
 
 
@@ -61,14 +64,14 @@ class Compressor:
 
         self.good, self.bad = packer(good), packer(bad)
 
-    def measure(self, text: str | None) -> tuple[float, float]:
-        """Normalised difference (above 0 for what good text explains better) and log rate of the sizes."""
+    def difference(self, text: str | None) -> float:
+        """Of the compressed sizes, normalised: above 0 for what good text explains better."""
         good = bad = raw = 0
         for b in blocks(text):
             good += len(self.good.compress(b))
             bad += len(self.bad.compress(b))
             raw += len(b)
-        return (bad - good) / (bad + good + DAMP), math.log((min(good, bad) + DAMP / 4) / (raw + DAMP / 2))
+        return (bad - good) / (raw + DAMP)
 
 
 def dictionary(samples: list[bytes], size: int) -> bytes:
@@ -97,20 +100,20 @@ def own_lines(pieces: list[tuple[int, int, bytes]]) -> dict[int, list[bytes]]:
     return {q: sorted(v) for q, v in out.items()}
 
 
-def calibrate(x: np.ndarray, y: np.ndarray, steps: int = 100) -> tuple[float, ...]:
-    """Intercept and slopes of a logistic regression (Newton, slightly ridged)."""
-    mean, scale = x.mean(0), np.where(x.std(0) > 0, x.std(0), 1)
+def calibrate(x: np.ndarray, y: np.ndarray, steps: int = 100) -> tuple[float, float]:
+    """Intercept and slope of a logistic regression (Newton, slightly ridged)."""
+    mean, scale = x.mean(), x.std() or 1.0
     z = np.c_[np.ones(len(x)), (x - mean) / scale]
-    w = np.zeros(z.shape[1])
+    w = np.zeros(2)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        hessian = (z * (p * (1 - p))[:, None]).T @ z + np.eye(len(w)) * 1e-2
+        hessian = (z * (p * (1 - p))[:, None]).T @ z + np.eye(2) * 1e-2
         step = np.linalg.solve(hessian, z.T @ (y - p) - 1e-2 * w)
         w += np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-9:
             break
-    slopes = w[1:] / scale
-    return (float(w[0] - slopes @ mean), *map(float, slopes))
+    slope = w[1] / scale
+    return float(w[0] - slope * mean), float(slope)
 
 
 @dataclass(frozen=True)
@@ -118,9 +121,12 @@ class Model:
     good: bytes
     bad: bytes
     intercept: float
-    slopes: tuple[float, ...]
+    slope: float
     level: int
 
+    def probability(self, difference: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.intercept + self.slope * difference, -40, 40)))
+
 
 def fit(docs: DataFrame, labels: DataFrame, settings: FitSettings = FitSettings()) -> Model:
     """Learns from rows of ``labels`` whose crc32(doc_id) mod 5 is not 0; to the driver come bounded samples only."""
@@ -129,7 +135,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: FitSettings = FitSettings(
     counts = {r["quality"]: r["count"] for r in usable.groupBy("quality").count().collect()}
     if set(counts) != {0, 1}:
         share = (counts.get(1, 0) + 0.5 * (not counts)) / max(1, sum(counts.values()))
-        return Model(b"", b"", math.log(max(share, 1e-6) / max(1 - share, 1e-6)), (), s.level)
+        return Model(b"", b"", math.log(max(share, 1e-6) / max(1 - share, 1e-6)), 0.0, s.level)
     picked = None
     for q in (0, 1):
         # The first half, by hash, is for the dictionary, the second for the calibration.
@@ -143,7 +149,8 @@ def fit(docs: DataFrame, labels: DataFrame, settings: FitSettings = FitSettings(
         seen[q] += 1
     kind = docs.schema["doc_id"].dataType.simpleString()
     chosen = docs.sparkSession.createDataFrame(dealt, f"doc_id {kind}, quality int, teaches boolean")
-    sample = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")  # at most 4 * fit_docs rows
+    # At most 4 * fit_docs labels, so the join is a filter of the scan; its result is kept, as it is read twice.
+    sample = stored(docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,31 +172,30 @@ def fit(docs: DataFrame, labels: DataFrame, settings: FitSettings = FitSettings(
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = Compressor(good, bad, s.level)
         for batch in batches:
-            found = [c.measure(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.float64()) for i in (0, 1)] + [batch.column(1)], names=["d", "rate", "quality"])
+            found = [c.difference(t) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.float64()), batch.column(1)], names=["d", "quality"])
 
-    seen_rows = sample.where("not teaches").select("text", "quality").mapInArrow(measure, "d double, rate double, quality int").collect()
+    seen_rows = sample.where("not teaches").select("text", "quality").mapInArrow(measure, "d double, quality int").collect()
     if len({r["quality"] for r in seen_rows}) < 2:
-        return Model(good, bad, math.log(counts[1] / counts[0]), (), s.level)
-    x, y = np.array([(r["d"], r["rate"]) for r in seen_rows]), np.array([r["quality"] for r in seen_rows], float)
-    order = np.lexsort((y, x[:, 1], x[:, 0]))
-    intercept, *slopes = calibrate(x[order], y[order])
+        return Model(good, bad, math.log(counts[1] / counts[0]), 0.0, s.level)
+    x, y = np.array([r["d"] for r in seen_rows]), np.array([r["quality"] for r in seen_rows], float)
+    order = np.lexsort((y, x))
+    intercept, slope = calibrate(x[order], y[order])
     # The sample holds the classes in equal numbers; the prior is that of all usable labels.
     prior = math.log(counts[1] / counts[0]) - math.log(y.sum() / (len(y) - y.sum()))
-    return Model(good, bad, intercept + prior, tuple(slopes), s.level)
+    return Model(good, bad, intercept + prior, slope, s.level)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for each row; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = Compressor(model.good, model.bad, model.level) if model.slopes else None
+        c = Compressor(model.good, model.bad, model.level) if model.slope else None
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 ids = part.column(0)
-                found = np.array([c.measure(t) if c else () for t in part.column(1).to_pylist()])
-                p = 1 / (1 + np.exp(-np.clip(model.intercept + found @ np.array(model.slopes), -40, 40)))
+                p = model.probability(np.array([c.difference(t) if c else 0.0 for t in part.column(1).to_pylist()]))
                 held = [i is not None and zlib.crc32(str(i).encode()) % FOLDS == 0 for i in ids.to_pylist()]
                 yield pa.RecordBatch.from_arrays([ids, pa.array(held, pa.bool_()), pa.array(p, pa.float64()), pa.array((p >= THRESHOLD).astype(np.int32), pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 

@@ -156,7 +156,11 @@ def test_lists_of_links_part_no_text(html, want):
     ("html", "want"),
     [
         (f"<div><p>{LONG}</p><p>{LONG}</p></div><article><p>Card</p></article><div><p>{LONG}</p></div>", f"{LONG} {LONG} Card {LONG}"),
-        (f"<article><p>Card</p></article><div><p>{LONG}</p></div>{LINKS}", f"Card {LONG}"),
+        (f"<article><p>Card</p></article><div><p>{LONG}</p></div>{LINKS}", LONG),
+        (f"<article><h1>T</h1><p>{LONG}</p><p>{LONG}</p></article><div><p>{LONG}</p></div>", f"T {LONG} {LONG}"),
+        (f"<article><p>{LONG}</p></article><div><p>{LONG}</p><p>{LONG}</p></div>", f"{LONG} {LONG} {LONG}"),
+        (f"<p>near</p><main><article><p>{LONG}</p></article><p>tail</p></main><p>near</p>", f"{LONG} tail"),
+        (f"<article><p>{LONG}</p></article><article class='comment'><p>{LONG}</p></article>", LONG),
         (f"{LINKS}<article><p>{LONG}</p>{LINKS}</article>{LINKS}", f"{LONG} {SOURCES}"),
         (f"<p>Site</p>{LINKS}<article><h1>T</h1><p>b</p></article>{LINKS}<p>Imprint</p>", "T b"),
     ],
@@ -165,6 +169,39 @@ def test_marked_article_is_a_hint(html, want):
     assert main_text(html) == want
 
 
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        (f"<article><h1 class='post-header'>Head</h1><p>{LONG}</p></article>", f"Head {LONG}"),
+        (f"<article><p class='legal-analysis'>Law</p><p class=related>Kin</p><p>{LONG}</p></article>", f"Law Kin {LONG}"),
+        (f"<main class='search-page'><p>{LONG}</p></main>", LONG),
+        (f"<article><label>Label</label><div class='article-footer-note'>Note</div><p>{LONG}</p></article>", f"Label Note {LONG}"),
+        (f"<article><p>{LONG}</p><div class='x comments'>c</div><div class=share>s</div><p class=ad>buy</p><form><label>no</label></form></article>", LONG),
+        (f"<div class='page-footer-links'>f</div><p class='search-intro'>in</p><p>{LONG}</p>", f"in {LONG}"),
+    ],
+)
+def test_styling_costs_an_article_nothing(html, want):
+    assert main_text(html) == want
+
+
+def test_lengths_decide_within_marks():
+    """The same lines give the same text whether an article is marked or not."""
+    r = random.Random(6)
+    for _ in range(50):
+        inner = "".join(f"<p>{'word ' * r.choice([1, 2, 30, 60])}</p>" for _ in range(r.randrange(1, 9)))
+        if len(main_text(f"<div>{inner}</div>")) > 300:
+            assert main_text(f"<article>{inner}</article>") == main_text(f"<div>{inner}</div>")
+
+
+@pytest.mark.parametrize("page", ["<div>" * 100_000 + "</span>" * 100_000, "<span><article>" + "<div>" * 50_000 + "</span>" * 50_000, "<nav>" + "<article>" * 50_000, "<a '>" * 50_000 + '<b ">' * 50_001])
+def test_time_is_linear_in_markup(page):
+    import time
+
+    began = time.perf_counter()
+    main_text(page + "x")
+    assert time.perf_counter() - began < 10
+
+
 def test_pages(spark, sf):
     import re
     from html import unescape
@@ -197,6 +234,36 @@ def test_classifier_on_held_out_labels(spark):
     assert right / total > 0.93
 
 
+def test_score_is_the_calibrated_difference(spark):
+    """Each score again, from the model's dictionaries and two numbers, with the compressor alone."""
+    import zstandard
+
+    from quillon.llm.classifier import fit, score
+
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = fit(docs, labels)
+    size = {}
+    for name, content in (("good", model.good), ("bad", model.bad)):
+        c = zstandard.ZstdCompressor(level=12, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False)
+        size[name] = lambda raw, c=c: sum(len(c.compress(raw[i : i + 4096])) for i in range(0, len(raw), 4096))
+    got = {r["doc_id"]: r["score"] for r in score(docs, model).collect()}
+    assert model.slope > 0
+    for r in docs.collect():
+        raw = (r["text"] or "").encode()
+        d = (size["bad"](raw) - size["good"](raw)) / (len(raw) + 25)
+        assert got[r["doc_id"]] == pytest.approx(1 / (1 + math.exp(-(model.intercept + model.slope * d))), abs=1e-9)
+
+
+def test_score_reads_text_alone(spark):
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    flipped = labels.withColumn("quality", F.when(held, 1 - F.col("quality")).otherwise(F.col("quality")))
+    a, b = ({r["doc_id"]: r["score"] for r in train_and_score(docs.withColumn("lang", F.lit(x)).withColumn("source", F.lit(x)), y).collect()} for x, y in (("x", labels), ("y", flipped)))
+    assert a == b
+
+
 def test_classifier_odd_input(docs, odd_docs, spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert {r["score"] for r in train_and_score(docs, none).collect()} == {0.5}
