@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm._components import components, joined_components
-from quillon.llm._store import stored
+from quillon.llm._store import give_back, stored
 
 _U = np.uint64
 
@@ -65,7 +65,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class Words(dict):
     """Word -> 64-bit hash, remembered for the words a worker meets."""
 
-    LIMIT = 500_000
+    LIMIT = 150_000
 
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh3_64_intdigest(word)
@@ -134,6 +134,8 @@ def _mapped(docs: DataFrame, schema: str, row: Callable[[], Callable]) -> DataFr
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 yield pa.RecordBatch.from_arrays([part.column(0), *f(part.column(1).to_pylist())], names=names)
+        del f
+        give_back()
 
     return docs.mapInArrow(run, schema)
 
@@ -155,8 +157,9 @@ def _missed(buckets: DataFrame, reached: DataFrame, sets: DataFrame, s: NearSett
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cut = [np.unique((np.frombuffer(x, _U) >> _U(32)).astype(np.uint32)).tobytes() for x in batch.column(1).to_pylist()]
+            cut = [np.unique((np.frombuffer(x.as_buffer(), _U) >> _U(32)).astype(np.uint32)).tobytes() for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cut, pa.binary())], names=["id", "short"])
+        give_back()
 
     keys = members.groupBy("id").agg(F.array_sort(F.collect_list("key")).alias("keys"))  # a document has as many as bands
     brief = sets.join(keys.select("id"), "id", "left_semi").mapInArrow(short, f"id {kind}, short binary").join(keys, "id")
@@ -234,13 +237,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                p, q = np.frombuffer(x, _U), np.frombuffer(y, _U)
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                p, q = np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)
                 if len(p) > len(q):
                     p, q = q, p
                 both = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
                 keep.append(100 * both >= s.percent * (len(p) + len(q) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        give_back()
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         left = pairs.select("a", "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")

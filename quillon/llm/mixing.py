@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm._store import stored
+from quillon.llm._store import give_back, stored
 
 #: Fixed by the contract: weights repeat over the sources in code point order.
 WEIGHTS = (5, 2, 1)
@@ -211,6 +211,7 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             if counted is not None:
                 columns[counted] = pa.array(map(len, new), pa.int64()).cast(columns[counted].type)
             yield pa.RecordBatch.from_arrays(columns, names=docs_columns)
+        give_back()
 
     docs_columns = docs.columns
     return rows.mapInArrow(cut, out_schema)

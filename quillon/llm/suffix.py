@@ -408,7 +408,7 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str, carry: Sequence[str],
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = Anchors(s)
         for batch in batches:
-            for key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for key, data in map(_values, zip(*batch.columns, strict=True)):
                 b = Batch(data)
                 _, _, _, doc, h, mark = find.of(b)
                 unique, several, kinds = distinct_hashes(h, doc, mark)
@@ -452,7 +452,7 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str, carry: Sequence[str],
     def sort_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = Anchors(s)
         for batch in batches:
-            for key, data, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for key, data, found in map(_values, zip(*batch.columns, strict=True)):
                 for part in batch_runs(Batch(data), find, found, parts, ranges, s):
                     rows = [(r, front_code(part.keys[x:y]), packed(part.least[x:y].tobytes())) for r, x, y in part.runs()]
                     yield pa.RecordBatch.from_arrays(
@@ -493,6 +493,11 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str, carry: Sequence[str],
     return known.join(earlier, "batch", "left").select("docs", "found", "earlier"), removed
 
 
+def _values(row: Sequence[pa.Scalar]) -> list:
+    """A row's values, so that of a batch's large ones only those in use are copied."""
+    return [x.as_py() for x in row]
+
+
 def distinct_hashes(h: np.ndarray, doc: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The batch's distinct hashes, ascending, whether more than one of its documents has each, and
     how many distinct marks there are with it."""
@@ -604,7 +609,7 @@ def dedup_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data, found, earlier in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for data, found, earlier in map(_values, zip(*batch.columns, strict=True)):
                 (b, gone), rows = removed(data, found, earlier), []
                 for x, y in zip(b.starts.tolist(), b.ends.tolist(), strict=True):
                     g = gone[x:y]
@@ -615,6 +620,7 @@ def dedup_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 kinds = [pa.int64()] * 3 + [pa.string()]
                 ids = b.table.column(0).combine_chunks()
                 yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                give_back()
 
     kind = docs.schema[id_col].dataType.simpleString()
     batches, removed = _repeats(docs, id_col, text_col, (), settings)
@@ -631,7 +637,7 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data, found, earlier in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for data, found, earlier in map(_values, zip(*batch.columns, strict=True)):
                 b, gone = removed(data, found, earlier)
                 old = b.table.column(1).to_pylist()
                 new = [t if not gone[x:y].any() else b.raw[x:y][~gone[x:y]].tobytes().decode("utf-8", "ignore") for t, x, y in zip(old, b.starts.tolist(), b.ends.tolist(), strict=True)]
@@ -640,6 +646,7 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 if chars_col:
                     columns[chars_col] = pa.array([None if t is None else len(t) for t in new], pa.int64()).cast(columns[chars_col].type)
                 yield pa.RecordBatch.from_arrays([columns[c] for c in docs_columns], names=docs_columns)
+                give_back()
 
     docs_columns = docs.columns
     batches, removed = _repeats(docs, id_col, text_col, carry, settings)

@@ -48,6 +48,22 @@ def test_near_duplicates(docs, corpus, size):
     assert all(got[i]["n_shingles"] == len(sets[i]) and got[i]["kept"] == (want[i] == i) for i in got)
 
 
+@pytest.mark.parametrize("size", [4, 9, 45, 180, 900, 1800])
+def test_recall_of_the_bands_at_the_bound(size):
+    """Pairs of exactly 0.8 similarity share a bucket, small sets and large ones alike."""
+    import numpy as np
+
+    from quillon.llm.minhash import Signer
+
+    r, signer, missed = np.random.default_rng(size), Signer(NearSettings()), 0
+    each = max(1, size // 9)  # 8 of 10 parts in common
+    for _ in range(300):
+        x = r.integers(0, 1 << 64, 10 * each, dtype=np.uint64)
+        a, b = np.unique(x[: 9 * each]), np.unique(x[each:])
+        missed += not (signer.bands(a) == signer.bands(b)).any()
+    assert missed == 0
+
+
 def test_links_that_the_first_star_misses(spark):
     """A path: the ends of a bucket's star are too far apart, neighbours are near enough."""
     text = [f"t{i}" for i in range(60)]
