@@ -1,14 +1,18 @@
-"""Statistics: histograms, percentiles, fan-out, and what a plan is likely to cost."""
+"""Statistics: histograms, percentiles, sketches, fan-out, copies, and what a query has read."""
 
 from __future__ import annotations
 
+import json
 import math
-from collections.abc import Sequence
+import time
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from quillon.plans.ast import Query, read_set
+from quillon.plans.ast import Query
 from quillon.plans.compiler import Compiler
 from quillon.sources.catalog import Catalog
 
@@ -22,10 +26,133 @@ def log_histogram(df: DataFrame, column: str) -> DataFrame:
     return df.where(F.col(column).isNotNull()).groupBy(log_bucket(F.col(column).cast("double")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def nearest_rank(df: DataFrame, column: str, shares: Sequence[float] = (0.5, 0.75, 0.99), by: Sequence[str] = ()) -> DataFrame:
-    """Least, greatest and percentiles that are values of the data."""
-    ranks = [F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {column})").alias(f"p{round(p * 100)}") for p in shares]
-    return df.groupBy(*by).agg(F.min(column).alias("min"), *ranks, F.max(column).alias("max"), F.count(column).alias("n"))
+def nearest_rank(df: DataFrame, column: str, shares: Sequence[float] = (0.5, 0.75, 0.99), by: Sequence[str] = (), bins: int = 1000) -> DataFrame:
+    """Least, greatest and percentiles that are values of the data, exactly.
+
+    Approximate quantiles cut each group's values into ``bins`` bins; their counts tell in
+    which bin a rank lies, and only the values of such bins are sorted, so that no task holds
+    a group.  NULLs do not count.
+    """
+    df = df.where(F.col(column).isNotNull()).select(*by, F.col(column).alias("__v"))
+    cuts = df.groupBy(*by).agg(F.percentile_approx("__v", [i / bins for i in range(1, bins)], 10 * bins).alias("__cuts"), F.count(F.lit(1)).alias("n"), F.min("__v").alias("min"), F.max("__v").alias("max"))
+    def joined(a: DataFrame, b: DataFrame, kind: str = "inner") -> DataFrame:
+        b = b.select("*", *[F.col(c).alias(f"__by_{c}") for c in by]).drop(*by)
+        on = [a[c].eqNullSafe(b[f"__by_{c}"]) for c in by]
+        return a.join(b, on or F.lit(True), kind).drop(*[f"__by_{c}" for c in by])
+
+    values = joined(df.groupBy(*by, "__v").agg(F.count(F.lit(1)).alias("__held")), cuts.select(*by, "__cuts"))
+    # The cuts ascend, so a value's bin is the number of those below it.
+    values = values.withColumn("__bin", F.aggregate("__cuts", F.lit(0), lambda n, c: n + (c < F.col("__v")).cast("int"))).drop("__cuts")
+    held = values.groupBy(*by, "__bin").agg(F.sum("__held").alias("__in"))
+    upto = Window.partitionBy(*by).orderBy("__bin").rowsBetween(Window.unboundedPreceding, 0)
+    ends = held.withColumn("__end", F.sum("__in").over(upto))
+    ranks = F.array(*[F.struct(F.lit(i).alias("i"), F.greatest(F.ceil(F.lit(p) * F.col("n")), F.lit(1)).cast("long").alias("rank")) for i, p in enumerate(shares)])
+    wanted = cuts.select(*by, F.explode(ranks).alias("r")).select(*by, F.col("r.i").alias("__i"), F.col("r.rank").alias("__rank"))
+    place = joined(wanted, ends).where((F.col("__rank") <= F.col("__end")) & (F.col("__rank") > F.col("__end") - F.col("__in"))).select(*by, "__bin", "__i", (F.col("__rank") - F.col("__end") + F.col("__in")).alias("__rank"))
+    some = joined(values, place.select(*by, F.col("__bin").alias("__b")).distinct(), "inner").where("__bin = __b").drop("__b")
+    within = Window.partitionBy(*by, "__bin").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    sorted_ = some.withColumn("__upto", F.sum("__held").over(within))
+    hit = joined(sorted_.withColumnRenamed("__bin", "__b"), place).where("__b = __bin AND __rank <= __upto AND __rank > __upto - __held")
+    found = hit.groupBy(*by).agg(*[F.max(F.when(F.col("__i") == i, F.col("__v"))).alias(f"p{round(p * 100)}") for i, p in enumerate(shares)])
+    return joined(cuts.select(*by, "min", "max", "n"), found).select(*by, "min", *[f"p{round(p * 100)}" for p in shares], "max", "n")
+
+
+class Digest:
+    """A mergeable sketch of a distribution: centroids that are fine at the ends and coarse in the middle.
+
+    A centroid covers so much of the ranks that the scale function asin(2q - 1) grows by no
+    more than a step; ``compression`` bounds how many there are.
+    """
+
+    def __init__(self, compression: int = 1000, means: Sequence[float] = (), weights: Sequence[float] = (), least: float = math.inf, most: float = -math.inf):
+        self.compression, self.least, self.most = compression, least, most
+        self.means, self.weights = np.asarray(means, np.float64), np.asarray(weights, np.float64)
+
+    def add(self, values: Sequence[float], weights: Sequence[float] | None = None) -> Digest:
+        x = np.asarray(values, np.float64)
+        w = np.ones(len(x)) if weights is None else np.asarray(weights, np.float64)
+        keep = ~np.isnan(x) & (w > 0)
+        x, w = x[keep], w[keep]
+        if len(x):
+            self.least, self.most = min(self.least, x.min()), max(self.most, x.max())
+            self._squeeze(np.r_[self.means, x], np.r_[self.weights, w])
+        return self
+
+    def merge(self, other: Digest) -> Digest:
+        self.least, self.most = min(self.least, other.least), max(self.most, other.most)
+        self._squeeze(np.r_[self.means, other.means], np.r_[self.weights, other.weights])
+        return self
+
+    def _squeeze(self, means: np.ndarray, weights: np.ndarray) -> None:
+        order = np.argsort(means, kind="stable")
+        means, weights = means[order], weights[order]
+        if len(means) > self.compression:
+            # Values whose ranks' middle falls into one step of the scale become one centroid.
+            middle = (np.cumsum(weights) - weights / 2) / weights.sum()
+            step = np.floor((np.arcsin(2 * middle - 1) / np.pi + 0.5) * self.compression)
+            first = np.flatnonzero(np.r_[True, step[1:] != step[:-1]])
+            total = np.add.reduceat(weights, first)
+            means, weights = np.add.reduceat(means * weights, first) / total, total
+        self.means, self.weights = means, weights
+
+    def count(self) -> float:
+        return float(self.weights.sum())
+
+    def _ends(self) -> tuple[np.ndarray, np.ndarray]:
+        """Values and the ranks at which they are taken to lie."""
+        at = np.cumsum(self.weights) - self.weights / 2
+        return np.r_[self.least, self.means, self.most], np.r_[0.0, at, self.weights.sum()]
+
+    def quantile(self, q: float) -> float:
+        """NaN of nothing; between centroids the value grows evenly."""
+        if not len(self.means) or math.isnan(q):
+            return math.nan
+        values, at = self._ends()
+        return float(np.interp(min(max(q, 0.0), 1.0) * self.weights.sum(), at, values))
+
+    def cdf(self, x: float) -> float:
+        """The share of values up to ``x``."""
+        if not len(self.means):
+            return math.nan
+        if x < self.least or x >= self.most:
+            return float(x >= self.most)
+        values, at = self._ends()
+        return float(np.interp(x, values, at) / self.weights.sum())
+
+    def to_json(self) -> str:
+        """A flat list: compression, then the means and weights of the centroids in turn, the least and the greatest value."""
+        pairs = np.c_[self.means, self.weights].ravel().tolist()
+        return json.dumps([self.compression, *pairs, *([self.least, self.most] if len(self.means) else [])])
+
+    @staticmethod
+    def from_json(text: str) -> Digest:
+        compression, *rest = json.loads(text)
+        if not rest:
+            return Digest(compression)
+        return Digest(compression, rest[:-2:2], rest[1:-2:2], rest[-2], rest[-1])
+
+
+def digest(df: DataFrame, column: str, compression: int = 1000, groups: int = 200) -> Digest:
+    """One digest of a column: each task's are merged in ``groups`` tasks, whose own come to the driver."""
+
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        d = Digest(compression)
+        for batch in batches:
+            d.add(batch.column(0).to_numpy(zero_copy_only=False))
+        yield pa.RecordBatch.from_arrays([pa.array([d.to_json()])], names=["d"])
+
+    def merge(table: pa.Table) -> pa.Table:
+        d = Digest(compression)
+        for text in table["d"].to_pylist():
+            d.merge(Digest.from_json(text))
+        return pa.table({"d": [d.to_json()]})
+
+    parts = df.where(F.col(column).isNotNull()).select(F.col(column).cast("double")).mapInArrow(one, "d string")
+    merged = parts.withColumn("g", F.pmod(F.xxhash64("d"), F.lit(groups))).groupBy("g").applyInArrow(merge, "d string")
+    out = Digest(compression)
+    for r in sorted(r["d"] for r in merged.collect()):
+        out.merge(Digest.from_json(r))
+    return out
 
 
 def quantiles(df: DataFrame, column: str, shares: Sequence[float], compression: int = 1000) -> DataFrame:
@@ -58,33 +185,41 @@ def copy_totals(frames: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def analyze(q: Query, catalog: Catalog) -> dict:
-    """Rows read of each table, rows of the result, and the plan: the inspector's answer."""
-    compiler = Compiler(catalog)
-    result = compiler.result_set(q)
-    return {
-        "read": {t: catalog.table(t).count() for t in sorted(read_set(q))},
-        "synced": {r["table"]: r["count"] for r in result.groupBy("table").count().collect()},
-        "plan": result._jdf.queryExecution().simpleString(),
-    }
-
+def copied(df: DataFrame, table: str, write: Callable[[DataFrame], None], clock: Callable[[], float] = time.monotonic) -> dict:
+    """Copies a table and says how: its name, rows, bytes of its source files and milliseconds."""
+    seen, began = Observation(f"copy of {table}"), clock()
+    write(df.observe(seen, F.count(F.lit(1)).alias("rows")))
+    spent, jvm = (clock() - began) * 1000, df.sparkSession._jvm
+    size, conf = 0, df.sparkSession._jsc.hadoopConfiguration()
+    for f in df.inputFiles():
+        path = jvm.org.apache.hadoop.fs.Path(f)
+        size += path.getFileSystem(conf).getFileStatus(path).getLen()
+    return {"table": table, "rows": seen.get["rows"], "bytes": size, "ms": spent}
 
-def sort_cost(rows: float) -> float:
-    """A scan's cost gains so much when its rows must be sorted."""
-    return rows * math.log2(rows) / 10 if rows > 1 else 0.0
 
+def copy_report(copies: Sequence[dict]) -> dict:
+    """All copies together; their time is that of the longest, as they run at once."""
+    out = {k: sum(c[k] for c in copies) for k in ("rows", "bytes")}
+    return {"tables": len(copies), **out, "ms": max((c["ms"] for c in copies), default=0)}
 
-def semi_join_selectivity(selectivity: float, fanout: float) -> float:
-    """The chance that one of ``fanout`` children meets a condition that a child meets with ``selectivity``."""
-    return 1 - (1 - selectivity) ** fanout
 
+def analyze(q: Query, catalog: Catalog) -> dict:
+    """The inspector's answer: rows read of each table by each level, rows of the result by table, and the plan.
 
-def flip_plan(costs: Sequence[tuple[float, float]], limit: int = 9) -> list[bool]:
-    """For independent joins given as (parent drives, child drives): which to flip, the cheapest way.
-
-    Catalyst and adaptive execution choose the sides themselves; this gives the answer for
-    those who want to see it, and gives up beyond ``limit`` joins as the choice doubles with each.
+    Read are the rows that a level's own conditions and cursor let through, counted while
+    the query runs; those above them are what the files' statistics could not skip.
     """
-    if len(costs) > limit:
-        return [False] * len(costs)
-    return [flipped < plain for plain, flipped in costs]
+    seen: list[tuple[str, Observation]] = []
+
+    def watch(table: str, df: DataFrame) -> DataFrame:
+        seen.append((table, Observation(f"{table} {len(seen)}")))
+        return df.observe(seen[-1][1], F.count(F.lit(1)).alias("rows"))
+
+    result = Compiler(catalog, watch).result_set(q)
+    began = time.monotonic()
+    synced = {r["table"]: r["count"] for r in result.groupBy("table").count().collect()}
+    read: dict[str, int] = {}
+    for table, o in seen:
+        read[table] = read.get(table, 0) + o.get.get("rows", 0)
+    plan = Compiler(catalog).result_set(q)._jdf.queryExecution().simpleString()
+    return {"read": read, "synced": synced, "ms": (time.monotonic() - began) * 1000, "plan": plan}

@@ -6,6 +6,7 @@ other than the operators' own, so Spark's three-valued logic keeps the same rows
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Sequence
 from functools import reduce
 from typing import Any
 
@@ -126,3 +127,8 @@ def key_lookup(c: Condition | None, key: tuple[str, ...]) -> dict[str, Any] | No
 def compatible(a: dict[str, Any], b: dict[str, Any]) -> bool:
     """Whether two sets of equalities can hold for one row."""
     return all(b[k] == v for k, v in a.items() if k in b)
+
+
+def key_matches(columns: Iterable[str], key: Sequence[str]) -> bool:
+    """Whether some columns are exactly a key's, in any order."""
+    return sorted(columns) == sorted(key)

@@ -72,6 +72,8 @@ class Exists:
     negated: bool = False
     #: Resolve to a literal before execution; see rewrite.resolve_scalars.
     scalar: bool = False
+    #: Whether the child's rows look up their parents; None leaves it to the planner.
+    flip: bool | None = None
 
 
 Condition = Union[Simple, And, Or, Exists]
@@ -141,16 +143,16 @@ def _value_to(v: Value) -> dict:
     return {"type": "static", "anchor": v.anchor, "field": v.path[0] if len(v.path) == 1 else list(v.path)}
 
 
-def _condition_from(c: dict) -> Condition:
+def condition_from_dict(c: dict) -> Condition:
     kind = c["type"]
     if kind == "simple":
         return Simple(c["op"], _value_from(c["left"]), _value_from(c["right"]))
     if kind in ("and", "or"):
-        return (And if kind == "and" else Or)(tuple(map(_condition_from, c["conditions"])))
+        return (And if kind == "and" else Or)(tuple(map(condition_from_dict, c["conditions"])))
     if kind == "correlatedSubquery":
         if c["op"] not in ("EXISTS", "NOT EXISTS"):
             raise ValueError(f"unknown operator {c['op']!r}")
-        return Exists(_related_from(c["related"]), c["op"] == "NOT EXISTS", bool(c.get("scalar")))
+        return Exists(_related_from(c["related"]), c["op"] == "NOT EXISTS", bool(c.get("scalar")), c.get("flip"))
     raise ValueError(f"unknown condition type {kind!r}")
 
 
@@ -159,7 +161,7 @@ def _condition_to(c: Condition) -> dict:
         return {"type": "simple", "op": c.op, "left": _value_to(c.left), "right": _value_to(c.right)}
     if isinstance(c, Exists):
         out = {"type": "correlatedSubquery", "related": _related_to(c.related), "op": "NOT EXISTS" if c.negated else "EXISTS"}
-        return out | ({"scalar": True} if c.scalar else {})
+        return out | ({"scalar": True} if c.scalar else {}) | ({} if c.flip is None else {"flip": c.flip})
     return {"type": "and" if isinstance(c, And) else "or", "conditions": [_condition_to(x) for x in c.conditions]}
 
 
@@ -177,7 +179,7 @@ def from_json(source: str | dict) -> Query:
     return Query(
         table=d["table"],
         alias=d.get("alias"),
-        where=_condition_from(d["where"]) if d.get("where") else None,
+        where=condition_from_dict(d["where"]) if d.get("where") else None,
         related=tuple(map(_related_from, d.get("related") or ())),
         start=Start(tuple(start["row"].items()), bool(start["exclusive"])) if start else None,
         limit=d.get("limit"),

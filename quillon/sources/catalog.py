@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.plans.ast import Column as ColumnName
+from quillon.plans.ast import Condition, Exists, Query, Related, Simple, Value
+
 #: Fixed by the replicated tables' format.
 VERSION_COLUMN = "_0_version"
 
@@ -88,6 +91,94 @@ def jdbc_snapshot(spark: SparkSession, url: str, table: str, partition_column: s
     return reader.options(**options).load()
 
 
+@dataclass(frozen=True)
+class Found:
+    """A table as a database describes it."""
+
+    spec: TableSpec
+    columns: tuple[tuple[str, str], ...]
+    #: A whole-number key column, by whose ranges the table is read in parallel; None if it has none.
+    ranged_by: str | None
+
+
+def discover(spark: SparkSession, url: str, schema: str | None = None, user: str = "", password: str = "") -> list[Found]:
+    """Tables of a database with their primary and unique keys, from its own description.
+
+    Tables without either have no key to follow their rows by; they are left out.
+    """
+    connection = spark._jvm.java.sql.DriverManager.getConnection(url, user, password)
+
+    def rows(result, *names: str) -> list[tuple]:
+        out = []
+        while result.next():
+            out.append(tuple(result.getString(n) for n in names))
+        return out
+
+    try:
+        meta, out = connection.getMetaData(), []
+        kinds = spark.sparkContext._gateway.new_array(spark._jvm.java.lang.String, 1)
+        kinds[0] = "TABLE"
+        for owner, name in rows(meta.getTables(None, schema, None, kinds), "TABLE_SCHEM", "TABLE_NAME"):
+            columns = tuple(rows(meta.getColumns(None, owner, name, None), "COLUMN_NAME", "TYPE_NAME"))
+            primary = [c for _, c in sorted((int(n), c) for c, n in rows(meta.getPrimaryKeys(None, owner, name), "COLUMN_NAME", "KEY_SEQ"))]
+            indexes: dict[str, list] = {}
+            for index, n, c in rows(meta.getIndexInfo(None, owner, name, True, False), "INDEX_NAME", "ORDINAL_POSITION", "COLUMN_NAME"):
+                if c:
+                    indexes.setdefault(index, []).append((int(n), c))
+            unique = [tuple(c for _, c in sorted(v)) for _, v in sorted(indexes.items())]
+            unique = [u for u in unique if list(u) != primary]
+            key = tuple(primary) or (unique[0] if unique else ())
+            if key:
+                whole = [c for c, t in columns if c in key and t.upper() in ("SMALLINT", "INTEGER", "INT", "BIGINT", "INT4", "INT8")]
+                out.append(Found(TableSpec(name, key, tuple(unique)), columns, whole[0] if whole else None))
+        return out
+    finally:
+        connection.close()
+
+
+def initial_snapshot(spark: SparkSession, url: str, found: Found, schema: str | None = None, partitions: int = 8, **options: str) -> DataFrame:
+    """A discovered table's first copy, read by even ranges of its whole-number key if it has one."""
+    name = f"{schema}.{found.spec.name}" if schema else found.spec.name
+    reader = spark.read.format("jdbc").option("url", url).options(**options)
+    if found.ranged_by is None:
+        return reader.option("dbtable", name).load()
+    column = found.ranged_by
+    ends = reader.option("query", f"SELECT min({column}) AS lo, max({column}) AS hi FROM {name}").load().first()
+    if ends[0] is None:
+        return spark.read.format("jdbc").option("url", url).options(**options).option("dbtable", name).load()
+    return jdbc_snapshot(spark, url, name, column, (int(ends[0]), int(ends[1]) + 1), partitions, **options)
+
+
+class MemoryTable:
+    """Rows held by the driver, for tests and for rules' own tables: pushed to, looked up by key, read as a frame."""
+
+    def __init__(self, spark: SparkSession, spec: TableSpec, schema: str, rows: Iterable[tuple] = ()):
+        self.spark, self.spec, self.schema = spark, spec, schema
+        self.names = spark.createDataFrame([], schema).columns
+        self.rows: dict[tuple, tuple] = {}
+        for r in rows:
+            self.push("add", r)
+
+    def _key(self, row: Sequence) -> tuple:
+        return tuple(row[self.names.index(k)] for k in self.spec.primary_key)
+
+    def push(self, kind: str, row: tuple, old: tuple | None = None) -> None:
+        """add, remove or edit; what does not fit the rows that are there is an error."""
+        key, before = self._key(row), self._key(old if old is not None else row)
+        if kind == "add" and key in self.rows or kind != "add" and before not in self.rows:
+            raise ValueError(f"{kind} of {key}: the row is {'there' if kind == 'add' else 'not there'}")
+        if kind != "add":
+            del self.rows[before]
+        if kind != "remove":
+            self.rows[key] = tuple(row)
+
+    def find_by_key(self, **key) -> tuple | None:
+        return self.rows.get(tuple(key[k] for k in self.spec.primary_key))
+
+    def fetch(self) -> DataFrame:
+        return self.spark.createDataFrame(list(self.rows.values()), self.schema)
+
+
 def sampled(df: DataFrame, rate: float | None = None, cap: int | None = None, seed: int = 0) -> DataFrame:
     """A Bernoulli sample and a cap, for trying a copy out."""
     df = df.sample(rate, seed) if rate is not None and rate < 1 else df
@@ -99,6 +190,13 @@ def with_overlay(base: DataFrame, after: DataFrame, touched: DataFrame, key: Seq
     return base.join(touched.select(*key).distinct(), list(key), "left_anti").unionByName(after)
 
 
+def contents_and_version(df: DataFrame) -> DataFrame:
+    """(contents, version): each row without its version column, and that."""
+    data = [c for c in df.columns if c != VERSION_COLUMN]
+    version = F.col(VERSION_COLUMN) if VERSION_COLUMN in df.columns else F.lit(None).cast("string")
+    return df.select(F.struct(*data).alias("contents"), version.alias("version"))
+
+
 def row_key(key: Iterable[str]):
     """A canonical text of a row's key: JSON with the columns in name order."""
     return F.to_json(F.struct(*sorted(key)))
@@ -127,6 +225,32 @@ class NameMapper:
     def rename(self, table: str, df: DataFrame) -> DataFrame:
         return df.withColumnsRenamed(self._of(table)[1])
 
+    def query(self, q: Query) -> Query:
+        """The query in the server's names, at every level; an unknown name is an error."""
+
+        def value(v: Value, table: str) -> Value:
+            return replace(v, name=self.column(table, v.name)) if isinstance(v, ColumnName) else v
+
+        def hop(r: Related, table: str) -> Related:
+            below = r.subquery.table
+            return Related(tuple(self.column(table, f) for f in r.parent_field), tuple(self.column(below, f) for f in r.child_field), self.query(r.subquery))
+
+        def condition(c: Condition, table: str) -> Condition:
+            if isinstance(c, Simple):
+                return replace(c, left=value(c.left, table), right=value(c.right, table))
+            if isinstance(c, Exists):
+                return replace(c, related=hop(c.related, table))
+            return replace(c, conditions=tuple(condition(x, table) for x in c.conditions))
+
+        return replace(
+            q,
+            table=self.table(q.table),
+            where=None if q.where is None else condition(q.where, q.table),
+            related=tuple(hop(r, q.table) for r in q.related),
+            start=None if q.start is None else replace(q.start, row=tuple((self.column(q.table, f), v) for f, v in q.start.row)),
+            order_by=tuple((self.column(q.table, f), d) for f, d in q.order_by),
+        )
+
     def inverse(self) -> NameMapper:
         return NameMapper({server: (t, {s: c for c, s in columns.items()}) for t, (server, columns) in self.tables.items()})
 

@@ -44,6 +44,88 @@ def committed(feed: DataFrame) -> DataFrame:
     return feed.where("_op <> 'rollback'").join(undone, "_version", "left_anti")
 
 
+def from_frames(frames: DataFrame, schemas: Mapping[str, str], keys: Mapping[str, Sequence[str]]) -> tuple[dict[str, DataFrame], DataFrame, DataFrame]:
+    """Frames of a replication stream as feeds: (feed by table, schema changes, errors).
+
+    ``frames`` has ``stream``, ``seq`` (order in it) and ``body``, JSON with a ``tag``:
+    begin (version), commit, rollback, relation (id, table), insert (relation, new), update
+    (relation, new, old), delete (relation, old), truncate (relations), message (prefix,
+    content: a schema change under the prefix ``ddl``), and origin and type, which carry no
+    rows.  A frame belongs to the last begin before it and to the last definition of its
+    relation; only transactions with a commit count.
+
+    Errors are (stream, seq, reason): a begin in a transaction, a row, commit or rollback
+    outside of one, an unknown tag, and a relation that was not defined.
+    """
+    kind = "struct<tag: string, version: bigint, id: bigint, table: string, relation: bigint, relations: array<bigint>, new: string, old: string, prefix: string, content: string>"
+    parsed = frames.select("stream", "seq", F.from_json("body", kind).alias("m")).select("stream", "seq", "m.*")
+    before = Window.partitionBy("stream").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    tag = F.col("tag")
+    opened = F.when(tag == "begin", F.struct(F.col("seq").alias("at"), F.col("version").alias("version"))).when(tag.isin("commit", "rollback"), F.struct(F.lit(None).cast("bigint").alias("at"), F.lit(None).cast("bigint").alias("version")))
+    framed = parsed.withColumn("__within", F.last(opened, True).over(before))
+    inside = F.coalesce(F.col("__within.at").isNotNull(), F.lit(False))
+    rows = ("insert", "update", "delete", "truncate", "commit", "rollback")
+    reason = F.when(tag.isNull() | ~tag.isin(*rows, "begin", "relation", "message", "origin", "type"), "unknown frame").when((tag == "begin") & inside, "begin inside a transaction").when(tag.isin(*rows) & ~inside, "outside a transaction")
+    # A transaction counts if it was committed.
+    ended = framed.where("tag = 'commit'").where(F.col("__within.at").isNotNull()).select("stream", F.col("__within.at").alias("__at"))
+    defined = parsed.where("tag = 'relation'").select("stream", F.col("id").alias("__relation"), F.col("seq").alias("__since"), F.col("table").alias("__table"))
+    touched = framed.where(tag.isin("insert", "update", "delete", "truncate")).where(inside).withColumn("__relation", F.explode(F.coalesce("relations", F.array("relation"))))
+    # The definition that was last before the frame, by one running window over both.
+    marks = touched.select("stream", "__relation", "seq", "tag", "new", "old", F.col("__within.at").alias("__at"), F.col("__within.version").alias("_version"), F.lit(None).cast("string").alias("__table"))
+    defs = defined.select("stream", "__relation", F.col("__since").alias("seq"), F.lit(None).cast("string").alias("tag"), F.lit(None).cast("string").alias("new"), F.lit(None).cast("string").alias("old"), F.lit(None).cast("bigint").alias("__at"), F.lit(None).cast("bigint").alias("_version"), "__table")
+    by = Window.partitionBy("stream", "__relation").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    named = marks.unionByName(defs).withColumn("__table", F.last("__table", True).over(by)).where("tag IS NOT NULL")
+    undefined = named.where("__table IS NULL").select("stream", "seq", F.lit("relation not defined").alias("reason"))
+    errors = framed.where(reason.isNotNull()).select("stream", "seq", reason.alias("reason")).unionByName(undefined)
+    whole = named.join(ended, ["stream", "__at"], "left_semi")
+    feeds = {}
+    for table, schema in schemas.items():
+        one = whole.where(F.col("__table") == table).select("_version", F.col("seq").alias("_pos"), F.col("tag").alias("_op"), F.from_json("new", schema).alias("n"), F.from_json("old", schema).alias("o"))
+        columns = [f.name for f in one.schema["n"].dataType.fields]
+        data = [(F.coalesce(f"n.{c}", f"o.{c}") if c in keys[table] else F.col(f"n.{c}")).alias(c) for c in columns]
+        feeds[table] = one.select(*data, "_version", "_pos", "_op", *[F.col(f"o.{k}").alias(f"_old_{k}") for k in keys[table]])
+    changes = framed.where("tag = 'message' AND prefix = 'ddl'").select("stream", "seq", F.col("__within.version").alias("version"), "content")
+    return feeds, changes, errors
+
+
+def key_columns(identity: str, declared: Sequence[str], primary_key: Sequence[str], table: str = "") -> tuple[str, ...]:
+    """The columns that name a row in a change, by the table's replica identity.
+
+    default, index and nothing use the columns that the stream declares, full the primary key.
+    """
+    if identity not in ("default", "index", "full", "nothing"):
+        raise ValueError(f"unknown replica identity {identity!r}")
+    out = tuple(primary_key if identity == "full" else declared)
+    if not out:
+        raise ValueError(f"{table or 'a table'} without a primary key or unique index cannot be replicated")
+    return out
+
+
+def subscription(spark: SparkSession, folder: str, schema: T.StructType | str, after: int, files_per_trigger: int | None = None) -> DataFrame:
+    """A stream of the changes that a subscriber at version ``after`` has not seen."""
+    return feed_stream(spark, folder, schema, files_per_trigger).where(F.col("_version") > after)
+
+
+def can_resume(log: DataFrame, after: int) -> bool:
+    """Whether a subscriber at ``after`` can catch up from the log, or must copy everything again."""
+    first = log.agg(F.min("version")).first()[0]
+    return first is None or after >= first - 1
+
+
+def releases(acks: DataFrame, subscribers: int, padding_ms: int, now: int) -> DataFrame:
+    """(message, acked, released): messages that may go on.
+
+    ``acks`` has (message, subscriber, at).  All subscribers release at once; more than half
+    do after another ``padding_ms``, so that a slow one holds the stream up so long and no longer.
+    """
+    first = acks.groupBy("message", "subscriber").agg(F.min("at").alias("at"))
+    rank = F.row_number().over(Window.partitionBy("message").orderBy("at", "subscriber"))
+    majority = subscribers // 2 + 1
+    ranked = first.withColumn("__n", rank)
+    found = ranked.groupBy("message").agg(F.count(F.lit(1)).alias("acked"), F.max(F.when(F.col("__n") == majority, F.col("at"))).alias("__half"))
+    return found.select("message", "acked", ((F.col("acked") >= subscribers) | F.coalesce(F.col("__half") + padding_ms <= now, F.lit(False))).alias("released"))
+
+
 def upto(feed: DataFrame, after: int | None = None, until: int | None = None) -> DataFrame:
     """Versions above ``after`` and up to ``until``: what a subscriber has not seen."""
     df = feed if after is None else feed.where(F.col("_version") > after)
@@ -72,17 +154,44 @@ def _when() -> Column:
 
 
 def _last_truncate(feed: DataFrame) -> DataFrame:
-    return feed.where("_op = 'truncate'").agg(F.max(F.struct("_version", "_pos")).alias("__cut"))
+    return feed.where("_op = 'truncate'").agg(F.max(F.struct("_version", "_pos")).alias("__cut")).where("__cut IS NOT NULL")  # one row or none
 
 
 def latest_events(feed: DataFrame, key: Sequence[str]) -> DataFrame:
     """The last event of each key, none from before the last truncation."""
-    events = key_events(feed, key).crossJoin(F.broadcast(_last_truncate(feed)))  # one row
-    events = events.where(F.col("__cut").isNull() | (F.struct("_version", "_pos") > F.col("__cut"))).drop("__cut")
+    cut = F.broadcast(_last_truncate(feed))
+    events = key_events(feed, key).join(cut, F.struct("_version", "_pos") <= F.col("__cut"), "left_anti")
     last = F.max_by(F.struct("_version", "_pos", "_kind", "_row"), _when())
     return events.groupBy(*key).agg(last.alias("e")).select(*key, "e.*")
 
 
+def _sets(base: DataFrame, last: DataFrame, unique_keys: Sequence[Sequence[str]]) -> DataFrame:
+    """The rows that the last events leave, with their version and position."""
+    data = [c for c in base.columns if c != VERSION_COLUMN]
+    stamp = [F.col("_version").cast(base.schema[VERSION_COLUMN].dataType).alias(VERSION_COLUMN)] if VERSION_COLUMN in base.columns else []
+    sets = last.where("_kind = 's'").select(*[F.col(f"_row.{c}").alias(c) for c in data], *stamp, "_version", "_pos")
+    for unique in unique_keys:
+        # Among new rows the last with a value keeps it.
+        w = Window.partitionBy(*unique).orderBy(F.col("_version").desc(), F.col("_pos").desc())
+        nulls = " OR ".join(f"{c} IS NULL" for c in unique)
+        sets = sets.withColumn("__n", F.row_number().over(w)).where(f"__n = 1 OR {nulls}").drop("__n")
+    return sets
+
+
+def table_delta(base: DataFrame, feed: DataFrame, key: Sequence[str], unique_keys: Sequence[Sequence[str]] = ()) -> tuple[DataFrame, DataFrame]:
+    """What a feed without truncations changes: (keys that are replaced, their rows as they are now).
+
+    Keys whose row is gone have no row: deleted ones, and those that another row robbed of a
+    unique key's value.
+    """
+    last = latest_events(feed, key)
+    sets = _sets(base, last, unique_keys)
+    keys = last.select(*key)
+    for unique in unique_keys:
+        keys = keys.unionByName(base.join(sets.select(*unique).distinct(), list(unique), "left_semi").select(*key))
+    return keys.distinct(), sets.select(*base.columns)
+
+
 def apply_changes(base: DataFrame, feed: DataFrame, key: Sequence[str], unique_keys: Sequence[Sequence[str]] = ()) -> DataFrame:
     """The table after the feed.  The last write of a key wins; a missing row's update inserts it.
 
@@ -90,25 +199,18 @@ def apply_changes(base: DataFrame, feed: DataFrame, key: Sequence[str], unique_k
     the last change is kept in ``_0_version`` if the table has that column.
     """
     last = latest_events(feed, key)
-    data = [c for c in base.columns if c != VERSION_COLUMN]
-    versioned = VERSION_COLUMN in base.columns
-    truncated = F.broadcast(_last_truncate(feed))
-    kept = base.crossJoin(truncated).where("__cut IS NULL").drop("__cut").join(last.select(*key), list(key), "left_anti")
-    stamp = [F.col("_version").cast(base.schema[VERSION_COLUMN].dataType).alias(VERSION_COLUMN)] if versioned else []
-    sets = last.where("_kind = 's'").select(*[F.col(f"_row.{c}").alias(c) for c in data], *stamp, "_version", "_pos")
+    sets = _sets(base, last, unique_keys)
+    # A truncation leaves nothing of the base: an empty side, which costs no pass over it.
+    kept = base.join(F.broadcast(_last_truncate(feed)), F.lit(True), "left_anti").join(last.select(*key), list(key), "left_anti")
     for unique in unique_keys:
-        # Among new rows the last with a value keeps it; old rows give way to any of them.
-        w = Window.partitionBy(*unique).orderBy(F.col("_version").desc(), F.col("_pos").desc())
-        nulls = " OR ".join(f"{c} IS NULL" for c in unique)
-        sets = sets.withColumn("__n", F.row_number().over(w)).where(f"__n = 1 OR {nulls}").drop("__n")
-        kept = kept.join(sets.select(*unique).distinct(), list(unique), "left_anti")
-    return kept.select(*base.columns).unionByName(sets.drop("_version", "_pos").select(*base.columns))
+        kept = kept.join(sets.select(*unique).distinct(), list(unique), "left_anti")  # old rows give way
+    return kept.select(*base.columns).unionByName(sets.select(*base.columns))
 
 
 def change_log(feed: DataFrame, table: str, key: Sequence[str]) -> DataFrame:
     """(version, pos, table, row_key, op) with the last op of each key, or t for a truncation."""
     rows = latest_events(feed, key).select("_version", "_pos", F.lit(table).alias("table"), row_key(key).alias("row_key"), F.col("_kind").alias("op"))
-    cut = _last_truncate(feed).where("__cut IS NOT NULL").select("__cut._version", "__cut._pos", F.lit(table).alias("table"), F.lit("").alias("row_key"), F.lit("t").alias("op"))
+    cut = _last_truncate(feed).select("__cut._version", "__cut._pos", F.lit(table).alias("table"), F.lit("").alias("row_key"), F.lit("t").alias("op"))
     return rows.unionByName(cut).withColumnsRenamed({"_version": "version", "_pos": "pos"})
 
 
@@ -127,9 +229,15 @@ def catch_up(log: DataFrame, snapshot: DataFrame, key: Sequence[str], after: int
     return joined.select("table", "row_key", F.when(F.col("row").isNull(), "d").otherwise("s").alias("op"), "row")
 
 
-def reset_reasons(log: DataFrame) -> DataFrame:
-    """Tables whose queries must start afresh: truncated, or changed in schema."""
-    return log.where(F.col("op").isin("t", "r")).select("table", "op").distinct()
+def reset_reasons(log: DataFrame, after: int = -1) -> DataFrame:
+    """(table, op, reason): tables whose queries must start afresh since ``after``."""
+    reason = F.when(F.col("op") == "t", "truncation").otherwise("schema-change")
+    return log.where((F.col("version") > after) & F.col("op").isin("t", "r")).select("table", "op", reason.alias("reason")).distinct()
+
+
+def ddl_log(spark: SparkSession, table: str, version: int, pos: int = 0) -> DataFrame:
+    """A schema change's row of the change log; it takes a version of its own."""
+    return spark.createDataFrame([(version, pos, table, "", "r")], "version long, pos long, table string, row_key string, op string")
 
 
 def merge_backfill(live: DataFrame, backfill: DataFrame, key: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -150,9 +258,29 @@ def merge_backfill(live: DataFrame, backfill: DataFrame, key: Sequence[str], col
     return j.select(*out)
 
 
-def snapshot_diff(before: DataFrame, after: DataFrame, log: DataFrame, key: Sequence[str], since: int) -> DataFrame:
-    """(kind, key..., old, new) of the keys changed after ``since``; only their rows are compared."""
+def backfill_completed(live: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The table once a copy is through: from here on live writes alone count, so versions by column go."""
+    return live.drop(*[f"_v_{c}" for c in columns])
+
+
+class ResetNeeded(Exception):
+    """Row changes alone do not lead from one snapshot to the other."""
+
+
+def snapshot_diff(before: DataFrame, after: DataFrame, log: DataFrame, key: Sequence[str], since: int, unique_keys: Sequence[Sequence[str]] = ()) -> DataFrame:
+    """(kind, key..., old, new) of the keys changed after ``since``; only their rows are compared.
+
+    Rows that had a unique key's value which a changed row has now count as changed too.  With
+    a truncation or a schema change in between, ResetNeeded.
+    """
+    why = reset_reasons(log, since).first()
+    if why:
+        raise ResetNeeded(f"{why['reason']} of {why['table']}")
     keys = compact(log, since).select("row_key")
+    for unique in unique_keys:
+        now = after.withColumn("row_key", row_key(key)).join(keys, "row_key", "left_semi").select(*unique).distinct()
+        keys = keys.unionByName(before.join(now, list(unique), "left_semi").select(row_key(key).alias("row_key")))
+    keys = keys.distinct()
     pick = lambda df, name: df.withColumn("row_key", row_key(key)).join(keys, "row_key", "left_semi").select("row_key", F.struct(*before.columns).alias(name))
     j = pick(before, "old").join(pick(after, "new"), "row_key", "full_outer").where("NOT (old <=> new)")
     kind = F.when(F.col("old").isNull(), "add").when(F.col("new").isNull(), "remove").otherwise("edit")

@@ -261,8 +261,3 @@ def test_view_records(spark):
     assert [views.encode_version(n) for n in (0, 10, 35, 36)] == ["00", "0a", "0z", "110"]
     assert all(views.decode_version(views.encode_version(n)) == n for n in (0, 5, 36, 10**15))
     assert sorted(views.encode_version(n) for n in (5, 40, 36**3)) == [views.encode_version(n) for n in (5, 40, 36**3)]
-
-
-def test_rate_limit():
-    w = mutations.SlidingWindow(1000, 2)
-    assert [w.allow(t) for t in (0, 1, 2, 1100, 1600, 1650, 5000)] == [True, True, False, True, True, False, True]

@@ -7,6 +7,7 @@ import os
 import duckdb
 import pytest
 
+import quillon.state_queries  # noqa: F401  registers its queries
 from quillon.queries import ORACLE_SQL, QUERIES
 
 
