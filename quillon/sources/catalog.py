@@ -126,8 +126,8 @@ def discover(spark: SparkSession, url: str, schema: str | None = None, user: str
                 if c:
                     indexes.setdefault(index, []).append((int(n), c))
             unique = [tuple(c for _, c in sorted(v)) for _, v in sorted(indexes.items())]
-            unique = [u for u in unique if list(u) != primary]
             key = tuple(primary) or (unique[0] if unique else ())
+            unique = [u for u in unique if u != key]
             if key:
                 whole = [c for c, t in columns if c in key and t.upper() in ("SMALLINT", "INTEGER", "INT", "BIGINT", "INT4", "INT8")]
                 out.append(Found(TableSpec(name, key, tuple(unique)), columns, whole[0] if whole else None))

@@ -170,7 +170,8 @@ def test_pokes(spark):
 # --- sources ---
 
 
-def test_discovered_database(spark):
+def test_discovered_database(spark, tmp_path):
+    spark._jvm.java.lang.System.setProperty("derby.stream.error.file", str(tmp_path / "derby.log"))
     url = "jdbc:derby:memory:quillon;create=true"
     connection = spark._jvm.java.sql.DriverManager.getConnection(url)
     try:
