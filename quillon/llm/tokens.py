@@ -70,27 +70,41 @@ class RankTable:
         counts = lengths.copy()
         symbols = self.first[np.frombuffer(b"".join(sequences), np.uint8)]
         owner = np.repeat(np.arange(len(sequences)), lengths)
-        while len(symbols) > 1:
-            inside = owner[1:] == owner[:-1]
-            ranks = np.where(inside, self.pair_ranks(symbols[:-1], symbols[1:]), self.none)
-            starts = np.flatnonzero(np.r_[True, ~inside])
-            lowest = np.minimum.reduceat(np.r_[ranks, self.none], starts)
+        ranks = self._ranks_at(np.arange(len(symbols)), symbols, owner)
+        while len(symbols):
+            starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+            lowest = np.minimum.reduceat(ranks, starts)
             sizes = np.diff(np.r_[starts, len(symbols)])
-            best = np.repeat(lowest, sizes)[:-1]
-            hit = (ranks == best) & (ranks < self.none)
+            hit = (ranks == np.repeat(lowest, sizes)) & (ranks < self.none)
             # Of overlapping hits (a a a) the leftmost counts, then every other one.
             at = np.flatnonzero(hit)
-            run_start = np.r_[True, np.diff(at) > 1]
+            run_start = np.r_[True, np.diff(at) > 1][: len(at)]
             run_at = np.maximum.accumulate(np.where(run_start, np.arange(len(at)), 0))
             at = at[(np.arange(len(at)) - run_at) % 2 == 0]
             symbols[at] = self.result[ranks[at]]
             counts -= np.bincount(owner[at], minlength=len(counts))
-            keep = np.ones(len(symbols), bool)
+            keep = np.repeat(lowest < self.none, sizes)  # finished sequences leave the batch
             keep[at + 1] = False
-            keep &= np.repeat(lowest < self.none, sizes)  # finished sequences leave the batch
-            symbols, owner = symbols[keep], owner[keep]
+            now = np.cumsum(keep)[at] - 1
+            symbols, owner, ranks = symbols[keep], owner[keep], ranks[keep]
+            # Only pairs with a new symbol have another rank.
+            touched = np.zeros(len(symbols), bool)
+            touched[now] = True
+            touched[now[now > 0] - 1] = True
+            again = np.flatnonzero(touched)
+            ranks[again] = self._ranks_at(again, symbols, owner)
         return counts
 
+    def _ranks_at(self, at: np.ndarray, symbols: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """The rank of the pair that begins at each place; none at the end of a sequence."""
+        out = np.full(len(at), self.none)
+        some = np.flatnonzero(at + 1 < len(symbols))
+        i = at[some]
+        inside = owner[i] == owner[i + 1]
+        i = i[inside]
+        out[some[inside]] = self.pair_ranks(symbols[i], symbols[i + 1])
+        return out
+
 
 #: Unicode's White_Space characters (fixed values).
 SPACE = r" \t-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"

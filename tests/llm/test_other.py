@@ -46,6 +46,20 @@ def test_token_counts_of_odd_texts():
     assert counter.counts(texts) == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_one_very_long_pre_token():
+    """Tens of thousands of letters without a space, in time that allows such texts."""
+    import time
+
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    text = "".join(random.Random(7).choices("abcdefghijklmnopqrstuvwxyz", k=40_000))
+    began = time.perf_counter()
+    got = RankTable(path).count([text.encode(), b"a", text[:5000].encode()])
+    assert time.perf_counter() - began < 20
+    assert got.tolist() == [len(Tokenizer.from_file(path).encode(x, add_special_tokens=False).ids) for x in (text, "a", text[:5000])]
+
+
 def test_merges_take_lowest_ranks_first():
     table, r = RankTable(P.path("byte_bpe_50k.json")), random.Random(0)
 
