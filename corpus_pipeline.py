@@ -61,11 +61,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``.  What a stage has read is removed once it has written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs.write.parquet(f"{folder}/{k}-{name}")
-            docs = spark.read.parquet(f"{folder}/{k}-{name}")
+            written = f"{folder}/{k}-{name}"
+            docs.write.parquet(written)
+            docs = spark.read.parquet(written)
+            if before:
+                path = spark._jvm.org.apache.hadoop.fs.Path(before)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            before = written
     return docs
