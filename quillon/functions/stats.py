@@ -26,35 +26,37 @@ def log_histogram(df: DataFrame, column: str) -> DataFrame:
     return df.where(F.col(column).isNotNull()).groupBy(log_bucket(F.col(column).cast("double")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def nearest_rank(df: DataFrame, column: str, shares: Sequence[float] = (0.5, 0.75, 0.99), by: Sequence[str] = (), bins: int = 1000) -> DataFrame:
+def nearest_rank(df: DataFrame, column: str, shares: Sequence[float] = (0.5, 0.75, 0.99), by: Sequence[str] = (), accuracy: int = 10_000) -> DataFrame:
     """Least, greatest and percentiles that are values of the data, exactly.
 
-    Approximate quantiles cut each group's values into ``bins`` bins; their counts tell in
-    which bin a rank lies, and only the values of such bins are sorted, so that no task holds
-    a group.  NULLs do not count.
+    A sketch, whose ranks are at most ``n / accuracy`` off, gives two values about each
+    percentile between which it must lie.  What is below is counted, and only the values
+    between them, some thousandths of a group, are sorted.  NULLs do not count.
     """
     df = df.where(F.col(column).isNotNull()).select(*by, F.col(column).alias("__v"))
-    cuts = df.groupBy(*by).agg(F.percentile_approx("__v", [i / bins for i in range(1, bins)], 10 * bins).alias("__cuts"), F.count(F.lit(1)).alias("n"), F.min("__v").alias("min"), F.max("__v").alias("max"))
-    def joined(a: DataFrame, b: DataFrame, kind: str = "inner") -> DataFrame:
-        b = b.select("*", *[F.col(c).alias(f"__by_{c}") for c in by]).drop(*by)
+    around = [min(max(p + side * 2 / accuracy, 0.0), 1.0) for p in shares for side in (-1, 1)]
+    cuts = df.groupBy(*by).agg(F.percentile_approx("__v", around, accuracy).alias("__q"), F.count(F.lit(1)).alias("n"), F.min("__v").alias("min"), F.max("__v").alias("max"))
+
+    def joined(a: DataFrame, b: DataFrame) -> DataFrame:
+        """By group, NULL being one; a side of one row for each group."""
+        b = b.withColumnsRenamed({c: f"__by_{c}" for c in by})
         on = [a[c].eqNullSafe(b[f"__by_{c}"]) for c in by]
-        return a.join(b, on or F.lit(True), kind).drop(*[f"__by_{c}" for c in by])
-
-    values = joined(df.groupBy(*by, "__v").agg(F.count(F.lit(1)).alias("__held")), cuts.select(*by, "__cuts"))
-    # The cuts ascend, so a value's bin is the number of those below it.
-    values = values.withColumn("__bin", F.aggregate("__cuts", F.lit(0), lambda n, c: n + (c < F.col("__v")).cast("int"))).drop("__cuts")
-    held = values.groupBy(*by, "__bin").agg(F.sum("__held").alias("__in"))
-    upto = Window.partitionBy(*by).orderBy("__bin").rowsBetween(Window.unboundedPreceding, 0)
-    ends = held.withColumn("__end", F.sum("__in").over(upto))
-    ranks = F.array(*[F.struct(F.lit(i).alias("i"), F.greatest(F.ceil(F.lit(p) * F.col("n")), F.lit(1)).cast("long").alias("rank")) for i, p in enumerate(shares)])
-    wanted = cuts.select(*by, F.explode(ranks).alias("r")).select(*by, F.col("r.i").alias("__i"), F.col("r.rank").alias("__rank"))
-    place = joined(wanted, ends).where((F.col("__rank") <= F.col("__end")) & (F.col("__rank") > F.col("__end") - F.col("__in"))).select(*by, "__bin", "__i", (F.col("__rank") - F.col("__end") + F.col("__in")).alias("__rank"))
-    some = joined(values, place.select(*by, F.col("__bin").alias("__b")).distinct(), "inner").where("__bin = __b").drop("__b")
-    within = Window.partitionBy(*by, "__bin").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
-    sorted_ = some.withColumn("__upto", F.sum("__held").over(within))
-    hit = joined(sorted_.withColumnRenamed("__bin", "__b"), place).where("__b = __bin AND __rank <= __upto AND __rank > __upto - __held")
-    found = hit.groupBy(*by).agg(*[F.max(F.when(F.col("__i") == i, F.col("__v"))).alias(f"p{round(p * 100)}") for i, p in enumerate(shares)])
-    return joined(cuts.select(*by, "min", "max", "n"), found).select(*by, "min", *[f"p{round(p * 100)}" for p in shares], "max", "n")
+        return a.join(b, on or F.lit(True)).drop(*[f"__by_{c}" for c in by])
+
+    rows, each = joined(df, cuts.select(*by, "__q")), range(len(shares))
+    low, high = (lambda i: F.col("__q")[2 * i]), (lambda i: F.col("__q")[2 * i + 1])
+    below = rows.groupBy(*by).agg(F.array(*[F.count(F.when(F.col("__v") < low(i), 1)) for i in each]).alias("__below"))
+    between = F.array_compact(F.array(*[F.when((F.col("__v") >= low(i)) & (F.col("__v") <= high(i)), F.lit(i)) for i in each]))
+    near = rows.select(*by, "__v", F.explode(between).alias("__i")).groupBy(*by, "__i", "__v").agg(F.count(F.lit(1)).alias("__held"))
+    upto = Window.partitionBy(*by, "__i").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    wanted = F.array(*[F.greatest(F.ceil(F.lit(p) * F.col("n")), F.lit(1)).cast("long") for p in shares])
+    totals = joined(cuts.select(*by, "n", "min", "max", wanted.alias("__rank")), below)
+    placed = joined(near.withColumn("__upto", F.sum("__held").over(upto)), totals)
+    end, rank = F.col("__below")[F.col("__i")] + F.col("__upto"), F.col("__rank")[F.col("__i")]
+    hit = placed.where((rank <= end) & (rank > end - F.col("__held")))
+    names = [f"p{round(p * 100)}" for p in shares]
+    found = hit.groupBy(*by).agg(*[F.max(F.when(F.col("__i") == i, F.col("__v"))).alias(names[i]) for i in each], *[F.first(c).alias(c) for c in ("min", "max", "n")])
+    return found.select(*by, "min", *names, "max", "n")
 
 
 class Digest:
