@@ -56,7 +56,8 @@ def targets(sizes: Sequence[int], share: float = 1.5, cap: float = 2.0, weights:
         if not over:
             break
         total -= sum(limit[i] for i in over)
-        free = [i for i in free if i not in set(over)]
+        capped = set(over)
+        free = [i for i in free if i not in capped]
     return [float(x) for x in out]
 
 
