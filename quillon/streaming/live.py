@@ -147,7 +147,7 @@ class LiveQueries:
     def alter(self, change: Mapping) -> Advance:
         """One schema change of a table that is loaded; a version of its own.
 
-        Queries that read the table start afresh.
+        Queries that read the table start afresh; without it they lose their rows and are forgotten.
         """
         m = self.manifest()
         tables = {n: self.store.read(m, f"table/{n}") for n in self.specs if f"table/{n}" in m.frames}
@@ -166,7 +166,15 @@ class LiveQueries:
                 draft.put(f"table/{n}", after[n], self.specs[n].primary_key)
         out = Advance(draft.version)
         for name in invalidated(self.queries(m), touched):
-            self._again(draft, out, name, self.queries(m)[name], "schema-change", m)
+            q = self.queries(m)[name]
+            if read_set(q) <= {t.removeprefix("table/") for t in draft.frames}:
+                self._again(draft, out, name, q, "schema-change", m)
+            else:  # a table it reads is gone, and so is the query
+                draft.keep(f"patch/{name}", self.result(name, m).select(F.lit("remove").alias("kind"), "table", "row_key", "row"))
+                del draft.meta["queries"][name]
+                draft.drop(f"result/{name}")
+                out.resets[name] = "schema-change"
+        draft.meta["resets"] = out.resets
         draft.publish()
         return self._told(out)
 

@@ -208,6 +208,8 @@ def test_resets(spark, tmp_path):
     assert live.result("plain").count() == 1
     out = live.set_rules({}, {"plain": QUERIES["plain"]})
     assert out.resets == {"plain": "permissions-change"} and [x["kind"] for x in out.patches["plain"].collect()] == ["remove"]
+    out = live.alter({"tag": "drop-table", "table": "c"})
+    assert out.resets == {"scalar": "schema-change"} and list(live.queries()) == ["plain"]
 
 
 def test_commits(spark, tmp_path, monkeypatch):
