@@ -88,6 +88,21 @@ def from_frames(frames: DataFrame, schemas: Mapping[str, str], keys: Mapping[str
     return feeds, changes, errors
 
 
+def split_feed(feed: DataFrame, schemas: Mapping[str, str], keys: Mapping[str, Sequence[str]]) -> dict[str, DataFrame]:
+    """One feed of several tables as a feed for each.
+
+    ``feed`` has ``_table``, ``_row`` and, for updates of a key, ``_old`` (JSON), besides
+    ``_version``, ``_pos`` and ``_op``.  Rows of tables that are not asked for are left out.
+    """
+    out = {}
+    for table, schema in schemas.items():
+        row, old = F.from_json("_row", schema).alias("n"), F.from_json(F.col("_old") if "_old" in feed.columns else F.lit(None).cast("string"), schema).alias("o")
+        one = feed.where(F.col("_table") == table).select("_version", "_pos", "_op", row, old)
+        columns = [f.name for f in one.schema["n"].dataType.fields]
+        out[table] = one.select(*[F.col(f"n.{c}").alias(c) for c in columns], "_version", "_pos", "_op", *[F.col(f"o.{k}").alias(f"_old_{k}") for k in keys[table]])
+    return out
+
+
 def key_columns(identity: str, declared: Sequence[str], primary_key: Sequence[str], table: str = "") -> tuple[str, ...]:
     """The columns that name a row in a change, by the table's replica identity.
 

@@ -37,7 +37,7 @@ from quillon.plans.compiler import Compiler
 from quillon.plans.rewrite import permitted, resolve_scalars
 from quillon.sources.catalog import Catalog, TableSpec, row_key
 from quillon.sources.store import Conflict, Draft, Manifest, Store
-from quillon.streaming.cdc import apply_changes, apply_ddl, committed, table_delta
+from quillon.streaming.cdc import apply_changes, apply_ddl, committed, split_feed, table_delta
 
 #: Fixed by the advance policy: a short advance is always finished, and so is one that is this far.
 LEAST_BUDGET_MS, NEARLY_DONE = 50.0, 0.8
@@ -246,15 +246,28 @@ class LiveQueries:
         Streams of several tables may run at once: versions are given out by the store, and a
         batch that meets another's commit is applied on top of it.
         """
+        return self._stream(feed, lambda batch: {table: batch}, f"{table}@{checkpoint}", checkpoint, trigger)
 
+    def follow_all(self, feed: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
+        """The same for a feed of several tables (see ``cdc.split_feed``): what a batch changes in all of them is one version."""
+
+        def parts(batch: DataFrame) -> dict[str, DataFrame]:
+            m, batch = self.manifest(), committed(batch)  # a rollback counts for all tables
+            named = {r[0] for r in batch.select("_table").distinct().collect()} & set(self.specs)  # tables, of which there are few
+            schemas = {t: m.frames[f"table/{t}"]["schema"] for t in sorted(named) if f"table/{t}" in m.frames}
+            return split_feed(batch, schemas, {t: self.specs[t].primary_key for t in schemas})
+
+        return self._stream(feed, parts, checkpoint, checkpoint, trigger)
+
+    def _stream(self, feed: DataFrame, parts: Callable[[DataFrame], dict[str, DataFrame]], name: str, checkpoint: str, trigger: dict) -> StreamingQuery:
         def one(batch: DataFrame, batch_id: int) -> None:
             held = batch.persist()  # read several times
             try:
+                if held.isEmpty():
+                    return
                 for attempt in range(20):
-                    if held.isEmpty():
-                        return
                     try:
-                        self.advance({table: held}, position=(f"{table}@{checkpoint}", batch_id))
+                        self.advance(parts(held), position=(name, batch_id))
                         return
                     except Conflict:
                         if attempt == 19:

@@ -250,6 +250,19 @@ def test_two_tables_followed_at_once(spark, tmp_path):
     assert '{"id":30}' in {x["row_key"] for x in live.result("tree").collect()}
 
 
+def test_one_stream_of_several_tables(spark, tmp_path):
+    """A parent and its child come in one batch and are one version; unknown tables are left out."""
+    live = live_with_tables(spark, tmp_path / "state")
+    live.add("tree", QUERIES["tree"])
+    version, folder, schema = live.manifest().version, str(tmp_path / "feed"), "_table string, _row string, _old string, _version long, _pos long, _op string"
+    changes = [("t", '{"id":30,"v":1}', None, 1, 0, "insert"), ("c", '{"id":40,"tid":30}', None, 1, 1, "insert"), ("t", '{"id":31,"v":0}', '{"id":0}', 1, 2, "update"), ("other", "{}", None, 1, 3, "insert")]
+    spark.createDataFrame(changes, schema).coalesce(1).write.parquet(folder)
+    live.follow_all(cdc.feed_stream(spark, folder, schema), str(tmp_path / "checkpoint"), availableNow=True).awaitTermination()
+    assert live.manifest().version == version + 1 and rows(live.result("tree")) == recomputed(live, QUERIES["tree"])
+    assert {x["row_key"] for x in live.patches(version + 1)["tree"].collect()} >= {'{"id":30}', '{"id":40}'}
+    assert {x["id"] for x in live.catalog().table("t").collect()} == {1, 2, 3, 4, 5, 30, 31}
+
+
 def test_stream(spark, tmp_path):
     live = LiveQueries(spark, str(tmp_path / "state"), {"t": T_SPEC})
     live.load("t", spark.createDataFrame([(1, 1, None)], "id int, v int, u string"))
