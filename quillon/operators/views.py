@@ -264,11 +264,18 @@ def purge(instances: DataFrame, children: dict[str, DataFrame], now: int, idle_m
     return after.select(*instances.columns), kept, left
 
 
-def next_purge(batch: int, purged: int, purgeable: int, least: int = 25, most: int = 1000) -> int:
-    """How many groups the next round takes: twice as many while there is a backlog, fewer when all is done."""
-    if purgeable > 0 and purged >= batch:
-        return min(most, 2 * batch)
-    return max(least, batch // 2) if not purgeable else batch
+#: The longest pause between two rounds, in milliseconds (fixed by the schedule).
+MAX_PURGE_PAUSE = 960_000
+
+
+def next_purge(batch: int, pause_ms: int, left_before: int | None, left: int, first_batch: int, first_pause_ms: int) -> tuple[int, int]:
+    """(groups of the next round, pause before it).
+
+    A backlog that has grown all the same makes rounds larger by ``first_batch``; while any is
+    left the pause is the first one, and it doubles each time nothing is.
+    """
+    grown = left_before is not None and left > left_before
+    return batch + first_batch * grown, first_pause_ms if left else min(2 * pause_ms, MAX_PURGE_PAUSE)
 
 
 # --- versions ----------------------------------------------------------------------------

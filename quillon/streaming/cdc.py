@@ -128,17 +128,28 @@ def can_resume(log: DataFrame, after: int) -> bool:
 
 
 def releases(acks: DataFrame, subscribers: int, padding_ms: int, now: int) -> DataFrame:
-    """(message, acked, released): messages that may go on.
+    """(message, acked, released): messages that may go on at ``now``.
 
     ``acks`` has (message, subscriber, at).  All subscribers release at once; more than half
-    do after another ``padding_ms``, so that a slow one holds the stream up so long and no longer.
+    do when no other has followed for ``padding_ms``, so that a slow one does not hold the
+    stream up for good.
     """
-    first = acks.groupBy("message", "subscriber").agg(F.min("at").alias("at"))
-    rank = F.row_number().over(Window.partitionBy("message").orderBy("at", "subscriber"))
-    majority = subscribers // 2 + 1
-    ranked = first.withColumn("__n", rank)
-    found = ranked.groupBy("message").agg(F.count(F.lit(1)).alias("acked"), F.max(F.when(F.col("__n") == majority, F.col("at"))).alias("__half"))
-    return found.select("message", "acked", ((F.col("acked") >= subscribers) | F.coalesce(F.col("__half") + padding_ms <= now, F.lit(False))).alias("released"))
+    first = acks.where(F.col("at") <= now).groupBy("message", "subscriber").agg(F.min("at").alias("at"))
+    found = first.groupBy("message").agg(F.count(F.lit(1)).alias("acked"), F.max("at").alias("__last"))
+    settled = (F.col("acked") >= subscribers // 2 + 1) & (F.lit(now) - F.col("__last") >= padding_ms)
+    return found.select("message", "acked", ((F.col("acked") >= subscribers) | settled).alias("released"))
+
+
+def held_back(backlog: DataFrame, high: int = 16 * 1024 * 1024, low_ratio: float = 0.8) -> DataFrame:
+    """``backlog`` (stream, at, bytes) with ``held``: whether the stream's producers wait.
+
+    They do from when the backlog reaches ``high`` until it has fallen to ``low_ratio`` of that.
+    """
+    high = max(high, 1)
+    low = int(high * min(max(low_ratio, 0.0), 1.0))
+    turned = F.when(F.col("bytes") >= high, True).when(F.col("bytes") <= low, False)
+    sofar = Window.partitionBy("stream").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    return backlog.withColumn("held", F.coalesce(F.last(turned, True).over(sofar), F.lit(False)))
 
 
 def upto(feed: DataFrame, after: int | None = None, until: int | None = None) -> DataFrame:

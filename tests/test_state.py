@@ -155,7 +155,8 @@ def test_purge_and_trim(spark):
     after, kept, left = views.purge(groups, kids, 100, 50, 1, 97)
     assert {(x["group"], x["deleted"]) for x in after.collect()} == {("b", False), ("c", False), ("e", True)}
     assert {x["group"] for x in kept["rows"].collect()} == {"b", "c"} and left.first()[0] == 1
-    assert views.next_purge(25, 25, 10) == 50 and views.next_purge(100, 20, 0) == 50 and views.next_purge(25, 0, 0) == 25
+    assert views.next_purge(25, 60_000, 10, 11, 25, 60_000) == (50, 60_000) and views.next_purge(50, 60_000, 11, 3, 25, 60_000) == (50, 60_000)
+    assert views.next_purge(50, 60_000, 3, 0, 25, 60_000) == (50, 120_000) and views.next_purge(50, 900_000, None, 0, 25, 60_000) == (50, 960_000)
     log, cursors = spark.createDataFrame([(i, "q") for i in range(5)], "seq int, query string"), spark.createDataFrame([("x", 2), ("y", 4)], "client string, seq long")
     assert [x["seq"] for x in views.trimmed(log, cursors).orderBy("seq").collect()] == [2, 3, 4] and views.trimmed(log, cursors.limit(0)).isEmpty()
 

@@ -336,7 +336,15 @@ def test_snapshot_diff_with_unique_keys_and_resets(spark):
 def test_releases(spark):
     acks = spark.createDataFrame([("x", "a", 1), ("x", "b", 5), ("x", "a", 9), ("y", "a", 1), ("z", "a", 1), ("z", "b", 2), ("z", "c", 3), ("z", "d", 4)], "message string, subscriber string, at long")
     at = lambda now, n=3: {x["message"]: x["released"] for x in cdc.releases(acks, n, 10, now).collect()}
-    assert at(14) == {"x": False, "y": False, "z": True} and at(15) == {"x": True, "y": False, "z": True} and at(3, 4)["z"]
+    assert at(14) == {"x": False, "y": False, "z": True} and at(15) == {"x": True, "y": False, "z": True}
+    assert not at(3, 4)["z"] and at(4, 4)["z"] and not at(13, 5)["z"] and at(14, 5)["z"]
+
+
+def test_held_back(spark):
+    sizes = [0, 50, 99, 100, 90, 81, 80, 99, 120, 10]
+    df = spark.createDataFrame([("s", i, n) for i, n in enumerate(sizes)], "stream string, at long, bytes long")
+    got = [x["held"] for x in cdc.held_back(df, 100).orderBy("at").collect()]
+    assert got == [False, False, False, True, True, True, False, False, True, False]
 
 
 def test_backfill_is_completed(spark):
