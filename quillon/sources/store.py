@@ -8,7 +8,9 @@ restart goes on where the last published version ended.
 
 A delta names the keys it replaces and holds their rows as they are now (none for a key
 that is gone; several where a key stands for a group of rows).  Writing costs what has
-changed; after ``most_deltas`` deltas a frame is written whole again.
+changed.  After ``most_deltas`` deltas they are merged into one; only when that has grown to
+a quarter of the base is the frame written whole again, so every row is rewritten a bounded
+number of times however large the base is.
 """
 
 from __future__ import annotations
@@ -73,6 +75,9 @@ class Files:
     def remove(self, name: str) -> None:
         self.fs.delete(self._path(name), True)
 
+    def size(self, name: str) -> int:
+        return self.fs.getContentSummary(self._path(name)).getLength()
+
 
 @dataclass
 class Manifest:
@@ -105,15 +110,19 @@ class Store:
         return Manifest(version, held["frames"], held["meta"])
 
     def read(self, m: Manifest, name: str) -> DataFrame:
-        frame = m.frames[name]
-        base, *deltas = frame["paths"]
-        schema = frame["schema"]
-        out = self.spark.read.schema(schema).parquet(f"{self.folder}/{base}/rows")
-        for path in deltas:
-            keys = self.spark.read.parquet(f"{self.folder}/{path}/keys")
-            out = out.join(keys, frame["key"], "left_anti").unionByName(self.spark.read.schema(schema).parquet(f"{self.folder}/{path}/rows"))
+        return self._chain(m.frames[name], m.frames[name]["paths"])
+
+    def _chain(self, frame: dict, paths: Sequence[str]) -> DataFrame:
+        """The rows of segments, each giving way to the keys of later ones."""
+        rows = lambda path: self.spark.read.schema(frame["schema"]).parquet(f"{self.folder}/{path}/rows")
+        out = rows(paths[0])
+        for path in paths[1:]:
+            out = out.join(self._keys(path), frame["key"], "left_anti").unionByName(rows(path))
         return out
 
+    def _keys(self, path: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{path}/keys")
+
     def rows_of(self, m: Manifest, name: str, keys: DataFrame) -> DataFrame:
         """The rows with some keys; the filter goes to each segment."""
         return self.read(m, name).join(keys, m.frames[name]["key"], "left_semi")
@@ -156,14 +165,29 @@ class Draft:
         self._write(df, path, "rows")
         self.frames[name] = {"key": list(key), "schema": _ddl(df), "paths": [path]}
 
-    def change(self, name: str, keys: DataFrame, rows: DataFrame) -> None:
-        """The rows of ``keys`` are now ``rows``; with many deltas behind it the frame is written whole."""
+    def change(self, name: str, keys: DataFrame, rows: DataFrame) -> DataFrame:
+        """The rows of ``keys`` are now ``rows``; many deltas become one, or large ones part of the base.
+
+        Returns the keys as written.
+        """
         frame, path = self.frames[name], self._segment()
         self._write(keys.select(*frame["key"]).distinct(), path, "keys")
         self._write(rows, path, "rows")
-        self.frames[name] = frame | {"paths": [*frame["paths"], path]}
-        if len(frame["paths"]) > self.store.most_deltas:
+        base, *deltas = paths = [*frame["paths"], path]
+        self.frames[name] = frame | {"paths": paths}
+        written = self.store._keys(path)
+        if len(deltas) <= self.store.most_deltas:
+            return written
+        if 4 * sum(map(self.store.files.size, deltas)) > self.store.files.size(base):
             self.put(name, self.read(name), frame["key"])
+            return written
+        merged, every = self._segment(), self.store._keys(deltas[0])
+        for d in deltas[1:]:
+            every = every.unionByName(self.store._keys(d))
+        self._write(every.distinct(), merged, "keys")
+        self._write(self.store._chain(frame, deltas), merged, "rows")
+        self.frames[name] = frame | {"paths": [base, merged]}
+        return written
 
     def drop(self, name: str) -> None:
         self.frames.pop(name, None)

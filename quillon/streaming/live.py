@@ -296,9 +296,7 @@ class LiveQueries:
             truncated.add(table)
             return
         keys, rows = table_delta(base, feed, spec.primary_key, spec.unique_keys)
-        draft.change(name, keys, rows)
-        path = draft.frames[name]["paths"][-1]
-        written = self.spark.read.parquet(f"{self.store.folder}/{path}/keys") if len(draft.frames[name]["paths"]) > 1 else keys
+        written = draft.change(name, keys, rows)
         new = draft.read(name).join(written, list(spec.primary_key), "left_semi")
         changed[table] = draft.scratch(base.join(written, list(spec.primary_key), "left_semi").unionByName(new))
 

@@ -34,7 +34,7 @@ def test_store_by_one_writer(spark, tmp_path):
     with pytest.raises(Conflict):
         other.publish()
     assert rows() == [(1, "a"), (2, "b")] and store.versions() == [0]
-    for i in range(3):  # the third is written whole
+    for i in range(3):  # with the third they are as large as the base, and the frame is written whole
         draft = store.next(store.manifest())
         draft.change("t", spark.createDataFrame([(2,), (3 + i,)], "id int"), df((3 + i, "c")))
         draft.publish()
@@ -43,6 +43,22 @@ def test_store_by_one_writer(spark, tmp_path):
     assert store.vacuum() > 0 and store.versions() == [3] and len(rows()) == 4
 
 
+def test_small_deltas_are_merged_beside_a_large_base(spark, tmp_path):
+    store = Store(spark, str(tmp_path), most_deltas=2)
+    draft = store.next(store.manifest())
+    draft.put("t", spark.range(50_000).selectExpr("id", "uuid() AS v").coalesce(1), ["id"])
+    draft.publish()
+    base = store.manifest().frames["t"]["paths"][0]
+    for i in range(4):
+        draft = store.next(store.manifest())
+        draft.change("t", spark.createDataFrame([(7,), (10 + i,)], "id long"), spark.createDataFrame([(10 + i, f"new{i}")] + [(7, "back")] * (i == 2), "id long, v string"))
+        draft.publish()
+    paths = store.manifest().frames["t"]["paths"]
+    assert paths[0] == base and len(paths) == 3
+    now = store.read(store.manifest(), "t")
+    assert now.count() == 49_999 and {x["id"]: x["v"] for x in now.where("v LIKE 'new%' OR v = 'back'").collect()} == {10 + i: f"new{i}" for i in range(4)}
+
+
 def test_operator_storage(spark, tmp_path):
     store = Store(spark, str(tmp_path))
     a, b = Storage(store, "g", "take"), Storage(store, "g", "join")
