@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import json
 import tempfile
+import threading
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -24,6 +25,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 
+_ONE_AT_A_TIME = threading.Lock()
+
+
 class Conflict(Exception):
     """Another writer has published the version first."""
 
@@ -62,7 +66,8 @@ class Files:
         sink = self.fs.create(draft)
         sink.write(bytearray(text.encode()))
         sink.close()
-        taken = self.fs.exists(self._path(name)) or not self.fs.rename(draft, self._path(name))
+        with _ONE_AT_A_TIME:  # a local disk's rename replaces; shared file systems refuse
+            taken = self.fs.exists(self._path(name)) or not self.fs.rename(draft, self._path(name))
         if taken:
             self.fs.delete(draft, False)
             raise Conflict(name)
