@@ -189,13 +189,16 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     through; of rows equal in all three, each has one of their shares.
     """
     keys = _row_keys(id_col, text_col, source_col)
-    plan = _plan(docs, id_col, text_col, source_col, settings, keys).where("taken > 0")
-    share = F.struct(F.col("passes"), F.col("parts"), F.col("size"))
-    shares = plan.groupBy("__mix_a", "__mix_b").agg(F.collect_list(share).alias("__mix_shares"))
-    joined = docs.select("*", *keys).join(shares, ["__mix_a", "__mix_b"])
-    among = Window.partitionBy("__mix_a", "__mix_b").orderBy("__mix_b")
-    numbered = joined.withColumn("__mix_n", F.row_number().over(among)).where(F.col("__mix_n") <= F.size("__mix_shares"))
-    own = numbered.withColumn("__mix_share", F.element_at("__mix_shares", F.col("__mix_n")))
+    key, named = ["__mix_a", "__mix_b"], docs.select("*", *keys)
+    alike = Window.partitionBy(*key)
+    plan = _plan(docs, id_col, text_col, source_col, settings, keys).withColumn("__mix_alike", F.count(F.lit(1)).over(alike))
+    plan = plan.select(*key, "__mix_alike", "taken", F.struct("passes", "parts", "size").alias("__mix_share"))
+    single = named.join(plan.where("__mix_alike = 1 AND taken > 0").select(*key, "__mix_share"), key)
+    # The few rows with equals are numbered on both sides and meet by number, so that none gathers them.
+    number = F.row_number().over(alike.orderBy("__mix_b")).alias("__mix_n")
+    several = plan.where("__mix_alike > 1")
+    equals = named.join(several.select(*key).distinct(), key, "left_semi").select("*", number)
+    own = single.unionByName(equals.join(several.where("taken > 0").select(*key, "__mix_share", number), [*key, "__mix_n"]).drop("__mix_n"))
     size = F.col("__mix_share.size").alias("__mix_size")
     whole = F.array_repeat(F.struct(F.lit(0).cast("long").alias("start"), F.col("__mix_share.size").alias("end")), F.col("__mix_share.passes"))
     rows = own.withColumn("__mix_part", F.explode(F.concat(whole, "__mix_share.parts"))).select(*docs.columns, "__mix_part.start", "__mix_part.end", size)
