@@ -67,7 +67,7 @@ def decode_text(lines: DataFrame, schema: str, column: str = "value") -> DataFra
 
     A line with another number of fields fails the query: rows are never guessed.
     """
-    struct_ = T.StructType.fromDDL(schema) if hasattr(T.StructType, "fromDDL") else lines.sparkSession.createDataFrame([], schema).schema
+    struct_ = lines.sparkSession.createDataFrame([], schema).schema
     fields = F.split(F.col(column), "\t", -1)
     whole = F.when(F.size(fields) == len(struct_.fields), fields).otherwise(F.raise_error(F.concat(F.lit(f"{len(struct_.fields)} fields expected: "), F.col(column))))
     rows = lines.where(F.col(column) != "\\.").select(F.explode(F.array(whole)).alias("__f"))

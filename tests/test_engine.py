@@ -8,10 +8,10 @@ from functools import cmp_to_key
 import pytest
 
 from quillon.operators import diff as d
-from quillon.operators import mutations, views
+from quillon.operators import views
 from quillon.operators.predicates import escape_like, key_lookup
 from quillon.plans import rewrite
-from quillon.plans.ast import And, Column, Exists, Literal, Or, Query, Simple, Start, all_of, any_of, cmp, complete_ordering, correlated, dedupe_related, exists, from_json, named_query_hash, normalise, query_hash, read_set, related, to_json
+from quillon.plans.ast import And, Column, Exists, Or, Query, Simple, Start, all_of, any_of, cmp, complete_ordering, correlated, dedupe_related, exists, from_json, named_query_hash, normalise, query_hash, read_set, related, to_json
 from quillon.plans.compiler import Compiler
 from quillon.sources.catalog import Catalog, NameMapper, TableSpec
 
