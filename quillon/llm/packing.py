@@ -65,12 +65,12 @@ def optimal_boundaries(lengths: Sequence[int], counts: Sequence[int], buckets: i
     return sorted(set(out))
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = (), token_budget: int = 16_384, buckets: int = 16, chunk_docs: int = 2000, max_chunks: int = 1_000_000, seed: int = 911) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = (), token_budget: int = 16_384, buckets: int = 16, chunk_tokens: int = 1_000_000, max_chunks: int = 1_000_000, seed: int = 911) -> DataFrame:
     """``id, n_tokens, bucket, bucket_length, batch_id, slot`` and the carried columns, for each row.
 
     To the driver goes the histogram, of at most ``token_budget + 2`` rows.  A bucket is
-    dealt into chunks by a seeded hash, so its rows are numbered by many tasks at once; the
-    chunks' sizes, not their rows, are summed up in order.  Carried texts are read once more
+    dealt into chunks of about ``chunk_tokens`` by a seeded hash, so its rows are numbered by
+    many tasks at once; the chunks' sizes, not their rows, are summed up in order.  Carried texts are read once more
     for the result and shuffled once.
     """
     if clash := set(carry) & {id_col, "n_tokens", "bucket", "bucket_length", "batch_id", "slot"}:
@@ -85,7 +85,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry:
     slots = [token_budget // b for b in bounds]
     held, slots = [*held, sum(r["count"] for r in histogram if r["length"] is None)], [*slots, 1]
     first = np.cumsum([0, *(-(-n // c) for n, c in zip(held, slots, strict=True))]).tolist()
-    chunks = [min(max_chunks, max(1, -(-n // chunk_docs))) for n in held]
+    # Documents beyond the budget have any length; few share a chunk.
+    chunks = [min(max_chunks, max(1, -(-n * b // chunk_tokens))) for n, b in zip(held, [*bounds, 4 * token_budget], strict=True)]
     rows = [(i, b, slots[i], first[i], chunks[i]) for i, b in enumerate([*bounds, None])]
     table = spark.createDataFrame(rows, "__pack_bucket int, __pack_bound long, __pack_slots int, __pack_first long, __pack_chunks int")
     bucket = F.lit(0)

@@ -143,7 +143,7 @@ def test_boundaries_are_optimal():
 
 def test_pack(docs, corpus, odd_docs):
     budget = 400
-    rows = pack(docs, token_budget=budget, buckets=4, chunk_docs=7, carry=["source"]).collect()
+    rows = pack(docs, token_budget=budget, buckets=4, chunk_tokens=700, carry=["source"]).collect()
     assert {r["doc_id"]: r["n_tokens"] for r in rows} == {i: len(WORD.findall(t or "")) for i, t, *_ in corpus}
     batches = {}
     for r in rows:
