@@ -8,15 +8,21 @@ rolled back are marked by ``_op = 'rollback'`` on any row of their version.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillon.operators.ordering import TASK_ROWS, dealt
 from quillon.sources.catalog import VERSION_COLUMN, row_key
 
 META = ("_version", "_pos", "_op")
+#: Frames of a block, and blocks of a stream at most: from some 130 million frames on, blocks grow instead.
+BLOCK_FRAMES, MOST_BLOCKS = TASK_ROWS // 8, 4096
+TOUCHING = ("insert", "update", "delete", "truncate")
+BOUNDS = ("begin", "commit", "rollback")
 
 
 def feed_stream(spark: SparkSession, folder: str, schema: T.StructType | str, files_per_trigger: int | None = None) -> DataFrame:
@@ -44,6 +50,65 @@ def committed(feed: DataFrame) -> DataFrame:
     return feed.where("_op <> 'rollback'").join(undone, "_version", "left_anti")
 
 
+def _blocks(frames: DataFrame) -> tuple[Column, int, bool]:
+    """(a frame's block, number of frames, whether a stream has several blocks).
+
+    A block is a range of a stream, in its order.  Long streams are cut at quantiles from a
+    sketch: where that is decides how much a task gets, not what comes out.
+    """
+    long = F.col("n") > BLOCK_FRAMES
+    sizes = frames.groupBy("stream").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.groupBy(long.alias("long"), F.when(long, F.col("stream")).alias("stream")).agg(F.sum("n").alias("n")).collect()
+    blocks = {x["stream"]: min(-(-x["n"] // BLOCK_FRAMES), MOST_BLOCKS) for x in sizes if x["long"]}
+    n, bounds = sum(x["n"] for x in sizes), set()
+    if not blocks:
+        return F.lit(0), n, False
+    most, named = max(blocks.values()), F.col("stream").isin([s for s in blocks if s is not None])
+    cut = frames.where(named | F.col("stream").isNull() if None in blocks else named)
+    for x in cut.groupBy("stream").agg(F.percentile_approx("seq", [i / most for i in range(1, most)], 20 * most).alias("at")).collect():
+        k = blocks[x["stream"]]
+        bounds |= {(x["stream"], x["at"][i * most // k - 1]) for i in range(1, k)} if x["at"] else set()
+    ordered = sorted(bounds, key=lambda b: (b[0] is not None, b))
+    held = F.from_json(F.lit(json.dumps([{"stream": s, "seq": q} for s, q in ordered])), f"array<struct<stream: {frames.schema['stream'].dataType.simpleString()}, seq: bigint>>")
+    here = F.struct("stream", F.col("seq").cast("bigint").alias("seq"))
+    # A binary search for the number of bounds up to the frame.
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(ordered).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(held, at + step - 1) <= here, at + step).otherwise(at)), n, True
+
+
+def _relations() -> Column:
+    """The relations that a frame defines or touches."""
+    return F.when(F.col("tag") == "relation", F.array("id")).otherwise(F.coalesce("relations", F.array("relation")))
+
+
+def _carried(placed: DataFrame, n: int) -> DataFrame:
+    """Frames from outside a block that decide about its own, one of each kind.
+
+    On side -1, before its first frame: the begin of a transaction that is open there, and
+    the definitions of the relations in it.  On side 1, after its last: a commit, if that is
+    the next bound.  They follow from a row for each block, and for each relation in it.
+    """
+    tag, seq = F.col("tag"), F.col("seq")
+    bound, begin = F.when(tag.isin(*BOUNDS), seq), F.when(tag == "begin", seq)
+    ends = placed.groupBy("stream", "__block").agg(
+        F.max(bound).alias("last"), F.max(begin).alias("begun"), F.max_by("version", begin).alias("version"), F.min(bound).alias("first"), F.min(F.when(tag == "commit", seq)).alias("done")
+    )
+    over = lambda *by, order: Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    some = F.col("last").isNotNull()
+    before = F.last(F.when(some, F.struct("last", "begun", "version")), True).over(over("stream", order=F.asc("__block")))
+    after = F.last(F.when(some, F.struct("first", "done")), True).over(over("stream", order=F.desc("__block")))
+    around = ends.select("stream", "__block", before.alias("b"), after.alias("a"))
+    begins = around.where("b.begun = b.last").select("stream", "__block", F.lit(-1).alias("__side"), F.col("b.begun").alias("seq"), F.lit("begin").alias("tag"), "b.version")
+    commits = around.where("a.done = a.first").select("stream", "__block", F.lit(1).alias("__side"), F.col("a.done").alias("seq"), F.lit("commit").alias("tag"))
+    at = ("stream", "__block", "__relation")
+    met = placed.where(tag.isin(*TOUCHING)).withColumn("__relation", F.explode(_relations())).select(*at).distinct()
+    defs = dealt(placed.where("tag = 'relation' AND table IS NOT NULL").withColumnRenamed("id", "__relation"), n, "stream", "__block").groupBy(*at).agg(F.max_by("table", "seq").alias("table"))
+    known = met.unionByName(defs, allowMissingColumns=True).groupBy(*at).agg(F.max("table").alias("table"))
+    known = known.withColumn("table", F.last("table", True).over(over("stream", "__relation", order=F.asc("__block")))).where("table IS NOT NULL")
+    definitions = known.select("stream", "__block", F.lit(-1).alias("__side"), F.lit("relation").alias("tag"), F.col("__relation").alias("id"), "table")
+    return begins.unionByName(commits, allowMissingColumns=True).unionByName(definitions, allowMissingColumns=True)
+
+
 def from_frames(frames: DataFrame, schemas: Mapping[str, str], keys: Mapping[str, Sequence[str]]) -> tuple[dict[str, DataFrame], DataFrame, DataFrame]:
     """Frames of a replication stream as feeds: (feed by table, schema changes, errors).
 
@@ -56,35 +121,41 @@ def from_frames(frames: DataFrame, schemas: Mapping[str, str], keys: Mapping[str
 
     Errors are (stream, seq, reason): a begin in a transaction, a row, commit or rollback
     outside of one, an unknown tag, and a relation that was not defined.
+
+    No task sorts a stream: it is cut into blocks, which are put in order each by itself,
+    between the few frames of other blocks that decide about them.
     """
     kind = "struct<tag: string, version: bigint, id: bigint, table: string, relation: bigint, relations: array<bigint>, new: string, old: string, prefix: string, content: string>"
-    parsed = frames.select("stream", "seq", F.from_json("body", kind).alias("m")).select("stream", "seq", "m.*")
-    before = Window.partitionBy("stream").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    tag = F.col("tag")
+    block, n, several = _blocks(frames)
+    placed = frames.select("stream", "seq", block.alias("__block"), F.lit(0).alias("__side"), F.from_json("body", kind).alias("m")).select("stream", "seq", "__block", "__side", "m.*")
+    if several:
+        placed = placed.unionByName(_carried(placed, n), allowMissingColumns=True)
+    by = ["stream", "__block"] if several else ["stream"]
+    placed = dealt(placed, n, *by)
+    before = Window.partitionBy(*by).orderBy("__side", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy(*by).orderBy(F.desc("__side"), F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
+    tag, own = F.col("tag"), F.col("__side") == 0
     opened = F.when(tag == "begin", F.struct(F.col("seq").alias("at"), F.col("version").alias("version"))).when(tag.isin("commit", "rollback"), F.struct(F.lit(None).cast("bigint").alias("at"), F.lit(None).cast("bigint").alias("version")))
-    framed = parsed.withColumn("__within", F.last(opened, True).over(before))
+    framed = placed.withColumn("__within", F.last(opened, True).over(before))
     inside = F.coalesce(F.col("__within.at").isNotNull(), F.lit(False))
-    rows = ("insert", "update", "delete", "truncate", "commit", "rollback")
+    rows = (*TOUCHING, "commit", "rollback")
     reason = F.when(tag.isNull() | ~tag.isin(*rows, "begin", "relation", "message", "origin", "type"), "unknown frame").when((tag == "begin") & inside, "begin inside a transaction").when(tag.isin(*rows) & ~inside, "outside a transaction")
-    # A transaction counts if it was committed.
-    ended = framed.where("tag = 'commit'").where(F.col("__within.at").isNotNull()).select("stream", F.col("__within.at").alias("__at"))
-    defined = parsed.where("tag = 'relation'").select("stream", F.col("id").alias("__relation"), F.col("seq").alias("__since"), F.col("table").alias("__table"))
-    touched = framed.where(tag.isin("insert", "update", "delete", "truncate")).where(inside).withColumn("__relation", F.explode(F.coalesce("relations", F.array("relation"))))
-    # The definition that was last before the frame, by one running window over both.
-    marks = touched.select("stream", "__relation", "seq", "tag", "new", "old", F.col("__within.at").alias("__at"), F.col("__within.version").alias("_version"), F.lit(None).cast("string").alias("__table"))
-    defs = defined.select("stream", "__relation", F.col("__since").alias("seq"), F.lit(None).cast("string").alias("tag"), F.lit(None).cast("string").alias("new"), F.lit(None).cast("string").alias("old"), F.lit(None).cast("bigint").alias("__at"), F.lit(None).cast("bigint").alias("_version"), "__table")
-    by = Window.partitionBy("stream", "__relation").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    named = marks.unionByName(defs).withColumn("__table", F.last("__table", True).over(by)).where("tag IS NOT NULL")
+    # A transaction counts if its next bound is a commit.
+    next_bound = F.last(F.when(tag.isin(*BOUNDS), tag), True).over(after)
+    touched = framed.withColumn("__next", next_bound).where((own & tag.isin(*TOUCHING) & inside) | (tag == "relation")).withColumn("__relation", F.explode(_relations()))
+    # The definition that was last before the frame.
+    upto = Window.partitionBy(*by, "__relation").orderBy("__side", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    named = touched.withColumn("__table", F.last(F.when(tag == "relation", F.col("table")), True).over(upto)).where("tag <> 'relation'")
     undefined = named.where("__table IS NULL").select("stream", "seq", F.lit("relation not defined").alias("reason"))
-    errors = framed.where(reason.isNotNull()).select("stream", "seq", reason.alias("reason")).unionByName(undefined)
-    whole = named.join(ended, ["stream", "__at"], "left_semi")
+    errors = framed.where(own & reason.isNotNull()).select("stream", "seq", reason.alias("reason")).unionByName(undefined)
+    whole = named.where("__next = 'commit'")
     feeds = {}
     for table, schema in schemas.items():
-        one = whole.where(F.col("__table") == table).select("_version", F.col("seq").alias("_pos"), F.col("tag").alias("_op"), F.from_json("new", schema).alias("n"), F.from_json("old", schema).alias("o"))
+        one = whole.where(F.col("__table") == table).select(F.col("__within.version").alias("_version"), F.col("seq").alias("_pos"), F.col("tag").alias("_op"), F.from_json("new", schema).alias("n"), F.from_json("old", schema).alias("o"))
         columns = [f.name for f in one.schema["n"].dataType.fields]
         data = [(F.coalesce(f"n.{c}", f"o.{c}") if c in keys[table] else F.col(f"n.{c}")).alias(c) for c in columns]
         feeds[table] = one.select(*data, "_version", "_pos", "_op", *[F.col(f"o.{k}").alias(f"_old_{k}") for k in keys[table]])
-    changes = framed.where("tag = 'message' AND prefix = 'ddl'").select("stream", "seq", F.col("__within.version").alias("version"), "content")
+    changes = framed.where(own & (tag == "message") & (F.col("prefix") == "ddl")).select("stream", "seq", F.col("__within.version").alias("version"), "content")
     return feeds, changes, errors
 
 

@@ -6,7 +6,9 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from quillon.operators import ordering
 from quillon.plans.ast import Query, Start, any_of, cmp, exists, related
 from quillon.plans.compiler import Compiler
 from quillon.sources.catalog import TableSpec
@@ -311,6 +313,76 @@ def test_frames(spark):
     assert {(x["seq"], x["reason"]) for x in errors.collect()} == {(19, "begin inside a transaction"), (21, "outside a transaction"), (22, "unknown frame"), (24, "relation not defined")}
 
 
+def _random_frames(seed):
+    r, out = random.Random(seed), []
+    for stream, n in (("a", 90), ("b", 40), ("c", 3)):
+        seq = r.choice([-5, 10**12])
+        for i in range(n):
+            seq += r.choice([1, 1, 7, 1000])
+            tag = r.choices(["begin", "commit", "rollback", "relation", "insert", "delete", "truncate", "message", "other"], [12, 11, 3, 8, 30, 10, 4, 5, 1])[0]
+            more = {"begin": {"version": i}, "relation": {"id": r.choice([1, 2, 3]), "table": r.choice("tc")}, "insert": {"relation": r.choice([1, 2, 3, None]), "new": {"id": i}}}
+            more |= {"delete": {"relation": r.choice([1, 2]), "old": {"id": i}}, "truncate": {"relations": r.choice([[1, 2], [3], [], [9, 1]])}, "message": {"prefix": r.choice(["ddl", "x"]), "content": "{}"}}
+            out.append((stream, *frame(seq, tag, **more.get(tag, {}))[1:]))
+    r.shuffle(out)
+    return out
+
+
+def _decode(frames):
+    """What from_frames gives, one frame after the other."""
+    rows, ddl, errors, state = [], [], [], {}
+    for stream, seq, body in sorted(frames):
+        m, s = json.loads(body), state.setdefault(stream, {"open": None, "defs": {}, "rows": []})
+        tag = m["tag"]
+        if tag == "begin":
+            if s["open"] is not None:
+                errors.append((stream, seq, "begin inside a transaction"))
+            s["open"], s["rows"] = m["version"], []
+        elif tag == "relation":
+            s["defs"][m["id"]] = m["table"]
+        elif tag == "message":
+            ddl += [(stream, seq, s["open"])] if m["prefix"] == "ddl" else []
+        elif tag == "other":
+            errors.append((stream, seq, "unknown frame"))
+        elif s["open"] is None:
+            errors.append((stream, seq, "outside a transaction"))
+        elif tag in ("commit", "rollback"):
+            rows += s["rows"] if tag == "commit" else []
+            s["open"], s["rows"] = None, []
+        else:
+            for relation in m.get("relations", [m.get("relation")]):
+                if relation in s["defs"]:
+                    s["rows"].append((s["defs"][relation], s["open"], seq, tag, json.loads(m.get("new") or m.get("old") or "{}").get("id")))
+                else:
+                    errors.append((stream, seq, "relation not defined"))
+    return sorted(map(str, rows)), sorted(map(str, ddl)), sorted(errors)
+
+
+@pytest.mark.parametrize("block", [7, 10_000])
+def test_frames_in_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(cdc, "BLOCK_FRAMES", block)
+    monkeypatch.setattr(ordering, "TASK_ROWS", 4 * block)
+    frames = _random_frames(6)
+    df = spark.createDataFrame(frames, "stream string, seq long, body string").repartition(3)
+    feeds, ddl, errors = cdc.from_frames(df, {"t": "id int", "c": "id int"}, {"t": ["id"], "c": ["id"]})
+    rows, changes, wrong = _decode(frames)
+    assert len(rows) > 5 and changes and {x[2] for x in wrong} == {"begin inside a transaction", "outside a transaction", "relation not defined", "unknown frame"}
+    assert sorted(str((t, x["_version"], x["_pos"], x["_op"], x["id"])) for t in feeds for x in feeds[t].collect()) == rows
+    assert sorted(str((x["stream"], x["seq"], x["version"])) for x in ddl.collect()) == changes
+    assert sorted(map(tuple, errors.collect())) == wrong
+
+
+def _largest_task(df):
+    return df.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+
+
+def test_no_task_has_a_whole_stream(spark):
+    n = 600_000
+    body = F.when(F.col("id") == 0, '{"tag": "relation", "id": 1, "table": "t"}').when(F.col("id") == 1, '{"tag": "begin", "version": 7}').when(F.col("id") == n - 1, '{"tag": "commit"}')
+    frames = spark.range(n).select(F.lit("s").alias("stream"), F.col("id").alias("seq"), F.coalesce(body, F.lit('{"tag": "insert", "relation": 1, "new": "{}"}')).alias("body"))
+    feed = cdc.from_frames(frames, {"t": "id int"}, {"t": ["id"]})[0]["t"]
+    assert feed.where("_version = 7").count() == n - 3 and _largest_task(feed) < n // 2
+
+
 def test_row_keys():
     assert cdc.key_columns("default", ["a"], ["b"]) == ("a",) and cdc.key_columns("full", [], ["b"]) == ("b",)
     for args in (("nothing", [], ["b"]), ("full", ["a"], [])):
