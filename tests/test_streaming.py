@@ -383,6 +383,13 @@ def test_no_task_has_a_whole_stream(spark):
     assert feed.where("_version = 7").count() == n - 3 and _largest_task(feed) < n // 2
 
 
+def test_no_task_has_a_whole_streams_errors(spark):
+    n = 600_000
+    frames = spark.range(n).select(F.lit("s").alias("stream"), F.col("id").alias("seq"), F.lit('{"tag": "insert", "relation": 1}').alias("body"))
+    errors = cdc.from_frames(frames, {}, {})[2]
+    assert errors.where("reason = 'outside a transaction'").count() == n and _largest_task(errors) < n // 2
+
+
 def test_row_keys():
     assert cdc.key_columns("default", ["a"], ["b"]) == ("a",) and cdc.key_columns("full", [], ["b"]) == ("b",)
     for args in (("nothing", [], ["b"]), ("full", ["a"], [])):
