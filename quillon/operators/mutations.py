@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillon.operators.ordering import dealt
 from quillon.operators.predicates import predicate
 from quillon.plans.ast import Condition, Or
 
 
-def fold_ops(table: DataFrame, ops: DataFrame, key: Sequence[str]) -> DataFrame:
+def fold_ops(table: DataFrame, ops: DataFrame, key: Sequence[str], rows: int) -> DataFrame:
     """``ops`` with ``kind``, what each of them does: insert, update, delete, none or error, and the row after it.
 
     ``ops`` has the table's columns, ``_op``, ``_pos`` and, if wanted, ``_set``: the names of
@@ -22,10 +23,11 @@ def fold_ops(table: DataFrame, ops: DataFrame, key: Sequence[str]) -> DataFrame:
     are not NULL.  An operation sees what earlier ones of its key have done: whether the row
     is there follows from the last that wrote or deleted it, and a column's value from the
     last that set it, so running windows decide all of a key's operations without gathering them.
+    ``rows``, how many both have, says how many tasks share them.
     """
     data = [c for c in table.columns if c not in key]
     have = table.select(*key, *[F.col(c).alias(f"__old_{c}") for c in data], F.lit(True).alias("__there"))
-    j = ops.join(have, list(key), "left")
+    j = dealt(ops, rows, *key).join(dealt(have, rows, *key), list(key), "left")
     order = Window.partitionBy(*key).orderBy("_pos")
     before, upto = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, 0)
     op = F.col("_op")
@@ -35,15 +37,19 @@ def fold_ops(table: DataFrame, ops: DataFrame, key: Sequence[str]) -> DataFrame:
     kind = kind.when(op == "upsert", F.when(F.col("__was"), "update").otherwise("insert")).when(op.isin("insert", "update", "delete"), op).otherwise("error")
     j = j.withColumn("kind", kind)
     done = ~F.col("kind").isin("none", "error")
-    rows = {}
+    values = {}
     for c in data:
         named = F.coalesce(F.array_contains("_set", F.lit(c)), F.col(c).isNotNull()) if "_set" in ops.columns else F.col(c).isNotNull()
         given = F.when(done & (op == "delete"), F.struct(F.lit(None).cast(table.schema[c].dataType).alias("v")))
         given = given.when(done & ((op != "update") | named), F.struct(F.col(c).alias("v")))
         last = F.last(given, True).over(upto)
-        rows[c] = F.when(last.isNull(), F.col(f"__old_{c}")).otherwise(last["v"])
+        values[c] = F.when(last.isNull(), F.col(f"__old_{c}")).otherwise(last["v"])
     extra = [c for c in ops.columns if c not in (*table.columns, "_op", "_pos", "_set")]
-    return j.select(*key, *[rows[c].alias(c) for c in data], "_pos", "kind", *extra)
+    return j.select(*key, *[values[c].alias(c) for c in data], "_pos", "kind", *extra)
+
+
+def _rows(table: DataFrame, ops: DataFrame) -> int:
+    return table.select(F.lit(1).alias("n")).unionAll(ops.select(F.lit(1).alias("n"))).count()
 
 
 def _feed(each: DataFrame, columns: Sequence[str], version: int) -> DataFrame:
@@ -59,7 +65,7 @@ def crud(table: DataFrame, ops: DataFrame, key: Sequence[str], version: int) ->
     error, (key..., _pos) in the second frame, the feed is empty: the batch fails as a whole.
     Updates and deletes of a missing row do nothing.
     """
-    each = fold_ops(table, ops, key)
+    each = fold_ops(table, ops, key, _rows(table, ops))
     errors = each.where("kind = 'error'").select(*key, "_pos")
     failed = errors.limit(1).select(F.lit(True).alias("__failed"))  # one row at most
     return _feed(each, table.columns, version).join(F.broadcast(failed), F.lit(True), "left_anti"), errors
@@ -73,9 +79,9 @@ def transactions(table: DataFrame, ops: DataFrame, key: Sequence[str], version:
     keys no earlier suspect has touched, which are certain; rounds grow with chains of
     mutations that fail one because of another, not with their number.
     """
-    gone = ops.select(mutation).limit(0)
+    gone, rows = ops.select(mutation).limit(0), _rows(table, ops)
     while True:
-        each = fold_ops(table, ops.join(gone, mutation, "left_anti"), key)
+        each = fold_ops(table, ops.join(gone, mutation, "left_anti"), key, rows)
         suspects = each.where("kind = 'error'").select(mutation).distinct().withColumn("__suspect", F.lit(1))
         marked = each.join(suspects, mutation, "left").withColumn("__suspect", F.coalesce("__suspect", F.lit(0)))
         count = lambda *by: F.coalesce(F.sum("__suspect").over(Window.partitionBy(*by).orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

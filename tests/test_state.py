@@ -115,6 +115,16 @@ def test_transactions(spark, seed):
     assert dict(map(tuple, cdc.apply_changes(table, feed, ["id"]).collect())) == want
 
 
+def test_tasks_follow_the_operations(spark):
+    n = 1_200_000
+    table = spark.range(n).withColumn("v", F.lit(1))
+    ops = table.select("id", F.lit(2).alias("v"), F.lit("update").alias("_op"), F.col("id").alias("_pos"))
+    feed, errors = mutations.crud(table, ops, ["id"], 1)
+    each = feed.where("v = 2").groupBy(F.spark_partition_id()).count().collect()
+    assert sum(x["count"] for x in each) == n and max(x["count"] for x in each) < n // 5
+    assert errors.isEmpty()
+
+
 def test_rate_limit(spark):
     """Against calls decided one by one; refused ones do not count."""
     r = random.Random(2)
